@@ -22,10 +22,17 @@ def op4_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.duck_bpe import token_digests
+
+    return token_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_maxscore": op3_maxscore,
         "op4_url_alias": op4_url_alias,
+        "op8_duck_bpe": op8_duck_bpe,
     }
 
 
