@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from folia.llm.common import table
 
 
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.html_crf import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.maxscore import top_k
 
@@ -22,17 +28,43 @@ def op4_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate of every document with the forest's probability and decision."""
+    from folia.llm.secret_forest import findings
+
+    return findings(table(spark, sf_dir, "documents"))
+
+
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, expected_grade, tail, keep of every document, by a fit on the labelled ones."""
+    from folia.llm.ordinal_quality import classify, train
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.duck_bpe import token_digests
 
     return token_digests(table(spark, sf_dir, "documents"))
 
 
+def op9_spaced_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and benchmark item that overlap."""
+    from folia.llm.spaced_decontam import overlaps
+
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_crf": op1_html_crf,
         "op3_maxscore": op3_maxscore,
         "op4_url_alias": op4_url_alias,
+        "op5_secret_forest": op5_secret_forest,
+        "op6_ordinal_quality": op6_ordinal_quality,
         "op8_duck_bpe": op8_duck_bpe,
+        "op9_spaced_decontam": op9_spaced_decontam,
     }
 
 
