@@ -56,6 +56,12 @@ def op9_spaced_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.pii_semicrf import find
+
+    return find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_crf": op1_html_crf,
@@ -65,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ordinal_quality": op6_ordinal_quality,
         "op8_duck_bpe": op8_duck_bpe,
         "op9_spaced_decontam": op9_spaced_decontam,
+        "op10_pii_semicrf": op10_pii_semicrf,
     }
 
 
