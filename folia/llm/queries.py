@@ -15,6 +15,12 @@ def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op2_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.simhash_gray import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.maxscore import top_k
 
@@ -65,6 +71,7 @@ def op10_pii_semicrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_crf": op1_html_crf,
+        "op2_simhash_gray": op2_simhash_gray,
         "op3_maxscore": op3_maxscore,
         "op4_url_alias": op4_url_alias,
         "op5_secret_forest": op5_secret_forest,
