@@ -62,3 +62,14 @@ def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
 def with_id(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns: extra columns of the input never reach an operator's shuffle."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def cut_table(df: DataFrame) -> DataFrame:
+    """As ``cut``, but as a compressed columnar table under the shared checkpoint folder."""
+    import uuid
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)

@@ -49,6 +49,12 @@ def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from folia.llm.suffix_dedup import removal_digests
+
+    return removal_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_duck_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from folia.llm.duck_bpe import token_digests
 
@@ -76,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_alias": op4_url_alias,
         "op5_secret_forest": op5_secret_forest,
         "op6_ordinal_quality": op6_ordinal_quality,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_duck_bpe": op8_duck_bpe,
         "op9_spaced_decontam": op9_spaced_decontam,
         "op10_pii_semicrf": op10_pii_semicrf,
