@@ -175,3 +175,23 @@ def classify(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tai
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *extra], schema=out)
 
     return rows.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tail: float = 0.6) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose probability of ``min_grade`` or more is ``min_tail`` at least."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    at, out = docs.columns.index("text"), to_arrow_schema(docs.schema)
+
+    def run(batches):
+        f, m = Features(), CumulativeLink(*shared.value)
+        for b in batches:
+            good = []
+            for text in b.column(at).to_pylist():
+                bins, values = f(text)
+                good.append(bool(m.tails(float(values @ m.weights[bins]))[min_grade - 1] >= min_tail))
+            kept = b.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, schema=out)
+
+    return docs.mapInArrow(run, docs.schema)

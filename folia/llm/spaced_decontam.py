@@ -150,6 +150,34 @@ class Benchmark:
             yield held[text][0], self.items[item][0], start, length, same
 
 
+def _small(docs: DataFrame, items: DataFrame, broadcast_tokens: int):
+    """The items for every task, if they have at most ``broadcast_tokens`` words in all; else nothing."""
+    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    return docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()]) if size <= broadcast_tokens else None
+
+
+def without_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
+    """The rows of ``docs``, unchanged, that overlap no benchmark item; rows of a null id are judged by their text too."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
+    index = _small(docs, items, broadcast_tokens)
+    if index is None:
+        named = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+        found = _shuffled(named.select(F.col("_row").alias("doc_id"), "text"), items, masks, min_tokens)
+        return named.join(found.select(F.col("doc_id").alias("_row")).distinct(), "_row", "left_anti").drop("_row")
+    at, out = docs.columns.index("text"), to_arrow_schema(docs.schema)
+
+    def run(batches):
+        bench = Benchmark(index.value, masks, min_tokens)
+        for b in batches:
+            hit = {got[0] for got in bench.scan(list(enumerate(b.column(at).to_pylist())))}
+            kept = b.filter(pa.array([i not in hit for i in range(b.num_rows)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(kept.columns, schema=out)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, min_tokens: int = MIN_TOKENS, broadcast_tokens: int = BROADCAST_TOKENS) -> DataFrame:
     """One row for each document row and benchmark item that overlap: doc_id, item_id, start, n_tokens, n_equal.
 
@@ -159,10 +187,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text"))
-    size = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    if size > broadcast_tokens:
+    index = _small(docs, items, broadcast_tokens)
+    if index is None:
         return _shuffled(docs, items, masks, min_tokens)
-    index = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])  # at most broadcast_tokens words
 
     def run(batches):
         bench = Benchmark(index.value, masks, min_tokens)
