@@ -27,20 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters of text whose pieces are split together; pieces that a task keeps encoded.
-CHUNK_CHARS, CACHE_PIECES, LONG_PIECE = 4_000_000, 400_000, 256
+CHUNK_CHARS, CACHE_PIECES, LONG_PIECE = 4_000_000, 1_000_000, 255
 
 ENCODE_SQL = """
 WITH RECURSIVE step(w, pos, id, nid, n) AS (
-  SELECT w, pos, id, nid, 0 FROM start
+  SELECT w, pos, id, nid, 0::SMALLINT FROM start
   UNION ALL
   SELECT w, pos, CASE WHEN k = best THEN merged ELSE id END,
-         CASE WHEN k = best THEN after_next WHEN next_k = best THEN next_merged ELSE nid END, n + 1
+         CASE WHEN k = best THEN after_next WHEN next_k = best THEN next_merged ELSE nid END, (n + 1)::SMALLINT
   FROM (
     SELECT *, min(k) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
            lag(k) OVER near AS last_k, lead(k) OVER near AS next_k,
            lead(merged) OVER near AS next_merged, lead(nid) OVER near AS after_next
     FROM (
-      SELECT s.*, m.merged, m.merged * 65536::BIGINT + s.pos AS k
+      SELECT s.*, m.merged, m.merged * 256 + s.pos AS k
       FROM step s LEFT JOIN merges m ON m.pair = s.id * 4294967296::BIGINT + s.nid
     ) WINDOW near AS (PARTITION BY w ORDER BY pos)
   )
@@ -107,7 +107,8 @@ class Vocabulary:
         w = np.repeat(np.arange(len(raws)), sizes)
         pos = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         following = np.append(np.where(w[1:] == w[:-1], ids[1:], -1), -1)
-        self.db.register("start", pa.table({"w": w, "pos": pos, "id": ids, "nid": following}))
+        small = {"w": w.astype(np.int32), "pos": pos.astype(np.int16), "id": ids.astype(np.int32), "nid": following.astype(np.int32)}
+        self.db.register("start", pa.table(small))
         got = self.db.sql(ENCODE_SQL).to_arrow_table()
         self.db.unregister("start")
         lists = got.column("ids").combine_chunks()
