@@ -38,7 +38,7 @@ def text_rows(smoothed: DataFrame, scale: float = 0.3, min_gap: int = 3, min_hei
 
 def assess_rows(rects: DataFrame, tall: float = 1.6, gap: float = 1.5, min_rows: int = 4) -> DataFrame:
     """Per page of enough rows: medians, pitch variation, and estimated merged rows; rounding is half to even."""
-    w = Window.partitionBy("page").orderBy("y", "row")
+    w = Window.partitionBy("page").orderBy("y", "row", "h", "w", "x")
     centred = rects.withColumn("centre", F.col("y") + F.col("h") / 2).withColumn("pitch", F.col("centre") - F.lag("centre").over(w))
     page = centred.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.median("h").alias("median_h"), F.median("pitch").alias("median_pitch"), F.coalesce(F.try_divide(F.stddev_pop("pitch"), F.avg("pitch")), F.lit(0.0)).alias("pitch_cv")).where(F.col("rows") >= min_rows)
     both = centred.join(page, "page")

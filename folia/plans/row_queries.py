@@ -30,7 +30,7 @@ ROWS_SQL = f"""{SMOOTH_SQL}, thr AS (SELECT page, greatest(1.0, avg(value) * 0.3
 dark AS (SELECT page, y, CASE WHEN y - lag(y) OVER (PARTITION BY page ORDER BY y) <= 3 THEN 0 ELSE 1 END AS fresh FROM smoothed JOIN thr USING (page) WHERE value >= t),
 found AS (SELECT page, min(y) AS y0, max(y) AS y1 FROM (SELECT page, y, sum(fresh) OVER (PARTITION BY page ORDER BY y) AS island FROM dark) GROUP BY page, island)"""
 ASSESS_SQL = f"""{I.RECTANGLES_SQL.strip()}, c AS (SELECT *, y + h / 2 AS centre FROM rects),
-p AS (SELECT *, centre - lag(centre) OVER (PARTITION BY page ORDER BY y, "row") AS pitch FROM c),
+p AS (SELECT *, centre - lag(centre) OVER (PARTITION BY page ORDER BY y, "row", h, w, x) AS pitch FROM c),
 g AS (SELECT page, count(*) AS "rows", median(h) AS median_h, median(pitch) AS median_pitch, coalesce(stddev_pop(pitch) / avg(pitch), 0.0) AS pitch_cv FROM p GROUP BY page HAVING count(*) >= 4)"""
 
 
