@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text whose pieces are split together; pieces that a task keeps encoded.
-CHUNK_CHARS, CACHE_PIECES, LONG_PIECE = 4_000_000, 1_000_000, 255
+#: Characters of text whose pieces are split together; pieces that a task keeps encoded; pieces of one recursive query.
+CHUNK_CHARS, CACHE_PIECES, LONG_PIECE, QUERY_PIECES = 2_000_000, 600_000, 255, 20_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step(w, pos, id, nid, n) AS (
@@ -94,8 +94,8 @@ class Vocabulary:
                 self.encoded[piece] = np.array(self.long_piece(raw), dtype="<u4").tobytes()
             else:
                 todo.append((piece, raw))
-        for i in range(0, len(todo), 40_000):
-            part = todo[i : i + 40_000]
+        for i in range(0, len(todo), QUERY_PIECES):
+            part = todo[i : i + QUERY_PIECES]
             self.encoded.update(zip((p for p, _ in part), self.recurse([raw for _, raw in part]), strict=True))
         new = list({self.encoded[p] for p in pieces} - self.decoded.keys())
         self.decoded.update(zip(new, self.decode(new), strict=True))

@@ -88,7 +88,7 @@ class Benchmark:
         got = self.raw.get(word)
         if got is None:
             got = self.words.get(normal(word), 0)
-            if len(self.raw) < 1_000_000:
+            if len(self.raw) < 200_000:
                 self.raw[word] = got
         return got
 
