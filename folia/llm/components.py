@@ -1,8 +1,8 @@
 """Distributed connected components by hooking to the smallest neighbour and contracting.
 
 Each round every vertex points at the smaller of itself and its smallest
-neighbour, pointers are jumped, and edges are rewritten to the pointed-at
-vertices; edges inside one tree vanish.  The minimum of a component always
+neighbour, pointers are doubled until all reach a root, and edges are rewritten
+to the roots; edges inside one tree vanish.  The minimum of a component always
 points at itself, so the last label is the component's smallest vertex.  A hub
 of any degree only meets a partially aggregated ``min`` and inner joins that
 adaptive execution can split.  The lineage is cut each round.
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from folia.llm.common import cut
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", jumps: int = 2) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """``(node, component)`` for every vertex of ``edges``; null ends and loops are ignored.
 
     Vertices may be of any ordered type.  ``component`` is the smallest vertex
@@ -27,11 +27,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", j
     labels: DataFrame | None = None
     kind = e.schema["a"].dataType
     while not e.isEmpty():
-        up = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up"))
-        for _ in range(jumps):
+        up = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        while True:  # to the roots, in as many steps as the logarithm of the longest path
             over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = up.join(over, "up").select("node", F.col("top").alias("up"))
-        up = cut(up)
+            up = cut(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            if up.where("moved").isEmpty():
+                break
         left = up.select(F.col("node").alias("a"), F.col("up").alias("x"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("y"))
         e = cut(e.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
