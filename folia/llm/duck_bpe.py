@@ -212,6 +212,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
 
     path = path or _default_path()
     kept = docs.drop(ids)
+    names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(ids, T.ArrayType(T.LongType()))])
     out = to_arrow_schema(schema)
 
@@ -220,7 +221,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
         for b in batches:
             for small in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 got = [np.frombuffer(b"".join(x), dtype="<u4").astype(np.int64) for x in encode_texts(v, p, small.column(text).to_pylist())]
-                yield pa.RecordBatch.from_arrays([*[small.column(n) for n in kept.columns], pa.array(got, type=pa.list_(pa.int64()))], schema=out)
+                yield pa.RecordBatch.from_arrays([*[small.column(n) for n in names], pa.array(got, type=pa.list_(pa.int64()))], schema=out)
 
     return kept.mapInArrow(run, schema)
 
@@ -232,6 +233,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", raw: str
 
     path = path or _default_path()
     kept = docs.drop(raw)
+    names = kept.columns
     schema = T.StructType([*kept.schema.fields, T.StructField(raw, T.BinaryType())])
     out = to_arrow_schema(schema)
 
@@ -240,7 +242,7 @@ def decode(docs: DataFrame, path: str | None = None, ids: str = "ids", raw: str
         for b in batches:
             for small in (b.slice(i, 500) for i in range(0, b.num_rows, 500)):
                 got = v.decode([np.array(x or [], dtype="<u4").tobytes() for x in small.column(ids).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[small.column(n) for n in kept.columns], pa.array(got, type=pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([*[small.column(n) for n in names], pa.array(got, type=pa.binary())], schema=out)
 
     return kept.mapInArrow(run, schema)
 

@@ -54,12 +54,14 @@ def seeds(ids: np.ndarray, mask: str) -> np.ndarray:
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, equal tokens) of the stretch with the highest score, +1 an equal and -4 another token."""
+    """(start, length, equal tokens) of the longest stretch, equal at both ends, that agrees in four of five tokens; the first of equals."""
+    at = np.flatnonzero(equal)
+    if not len(at):
+        return 0, 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(equal, 1, -4))])
-    lowest = np.minimum.accumulate(total[:-1])
-    gain = total[1:] - lowest
-    end = int(np.argmax(gain)) + 1
-    start = int(np.argmin(total[:end]))
+    sizes = np.where(total[at + 1][None, :] >= total[at][:, None], at[None, :] + 1 - at[:, None], 0)
+    i, j = np.unravel_index(int(np.argmax(sizes)), sizes.shape)
+    start, end = int(at[i]), int(at[j]) + 1
     return start, end - start, int(equal[start:end].sum())
 
 
