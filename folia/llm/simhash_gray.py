@@ -218,10 +218,14 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     Rows of a null id have nothing to be told apart by and stay.
     """
+    got = groups(docs.where("doc_id is not null"), words)
+    return only(docs, got.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct())
+
+
+def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
+    """``docs`` whose id is in the ``_keep`` column of ``keep``, each once, and the rows of a null id."""
     from pyspark.sql import Window
 
-    got = groups(docs.where("doc_id is not null"), words)
-    keep = got.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
     kept = docs.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi")
     copies = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
     if not copies.isEmpty():
