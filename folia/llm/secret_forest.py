@@ -1,7 +1,7 @@
 """Secret scans: candidate strings judged by a random forest.
 
 Candidates are all runs of key-like characters that hold a digit or a mix of
-cases, and quoted values behind a password-like name.  A forest over length,
+cases, and values behind a password-like name, quoted or not.  A forest over length,
 character transitions, dictionary coverage, path and neighbouring words removes
 the false positives; it is trained from labelled findings that
 ``labelled_findings`` makes from a seed (keys of many kinds; checksums, commits,
@@ -25,10 +25,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MIN_CHARS, MIN_NAMED = 16, 8
-KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/=~.-")
-DIGIT, RUN = re.compile(r"[0-9]"), re.compile(r"[A-Za-z0-9_+/=~.-]*")
+RUN, MIXED = re.compile(r"[A-Za-z0-9_+/=~.-]{%d,}" % MIN_CHARS), re.compile(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
 ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']([^\"'\s]{%d,200})[\"']" % MIN_NAMED)
-NAME = re.compile(r"(?i)\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,24}\s{0,3}\Z")
+BARE = re.compile(r"(?::=|=>|[:=])[ \t]{0,3}([^\"'\s]{%d,200})" % MIN_NAMED)
+NAME = re.compile(r"(?i)(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,24}[\"']?\s{0,3}\Z")
 REDACTED = "[secret removed]"
 THRESHOLD = 0.5
 NEAR = 48
@@ -169,19 +169,23 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> Iterator[tuple[str, str,
                 lambda: some(hexes, r.choice((32, 40, 64))), lambda: some(alnum, r.choice((20, 24, 32, 40, 48, 64))), lambda: some(alnum + "+/", 43) + "=",
                 lambda: r.choice(("ghp_", "sk_live_", "AKIA", "AIza", "glpat-", "xoxb-")) + some(alnum, r.randint(16, 40)),
                 lambda: "eyJ" + some(alnum, 30) + "." + some(alnum, 60) + "." + some(alnum, 40), lambda: some(alnum + "_-", r.randint(18, 50)),
+                lambda: some(alnum[:52], r.randint(16, 40)), lambda: (r.choice(parts) + r.choice(parts) + r.choice(parts) + some("0123456789", r.randint(2, 5)) + r.choice(("", "!")))[-15:].rjust(8, "k"),
+                lambda: some(alnum + "!#%_-", r.randint(8, 15)),
             ))()
             name = r.choice(("token", "secret", "password", "api_key", "access_key", "auth_token", "client_secret", "Authorization: Bearer", "key"))
             before = f"{prose(r.randint(0, 6))} {name}{r.choice((' = ', '=', ': ', ' '))}{quote}"
             yield value, before[-NEAR:], f"{quote} {prose(r.randint(0, 6))}"[:NEAR], path, 1
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(13)
             value = (
                 some(hexes, 40) if kind == 0 else some(hexes, r.choice((32, 64))) if kind == 1 else "-".join(some(hexes, k) for k in (8, 4, 4, 4, 12)) if kind == 2
                 else "/".join(prose(1) for _ in range(r.randint(3, 6))) + f"/{r.randint(1, 99)}.html" if kind == 3 else "".join(r.choice(parts) for _ in range(r.randint(6, 12))) + r.choice(("", "2", "-1"))
                 if kind == 4 else r.choice(("x", "0", "A")) * r.randint(16, 40) + r.choice(("1", "a")) if kind == 5 else "abcdefghijklmnopqrstuvwxyz0123456789"[: r.randint(18, 36)] if kind == 6
-                else f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{prose(1)}-{prose(1)}.tar.gz" if kind == 7 else "_".join(prose(1).upper() for _ in range(r.randint(2, 5))) + f"_{r.randint(0, 99)}"
+                else f"v{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 20)}-{prose(1)}-{prose(1)}.tar.gz" if kind == 7 else "".join(prose(1).title() for _ in range(r.randint(3, 5))).ljust(16, "s") if kind == 9
+                else "/".join(prose(1).title() for _ in range(r.randint(3, 6))) + r.choice(("", "/Readme.md")) if kind == 10 else some("0123456789", r.randint(16, 24)) if kind == 11
+                else r.choice((prose(1) + prose(1), prose(1) + prose(1), "${" + prose(1).upper() + "_TOKEN}", "<your-" + prose(1) + ">", "config." + prose(1), prose(1).title() + prose(1))).ljust(8, "s") if kind == 12 else "_".join(prose(1).upper() for _ in range(r.randint(2, 5))) + f"_{r.randint(0, 99)}"
             ).replace(" ", "")
-            name = r.choice(("commit ", "sha256:", "md5 ", "checksum: ", "integrity=", "revision ")) if kind < 2 else r.choice(("uuid=", "id: ", "request id ")) if kind == 2 else r.choice(("token = ", "example key: ", "password=")) if kind in (5, 6) else r.choice(("", "see ", "class=", "https://site.example/"))
+            name = r.choice(("commit ", "sha256:", "md5 ", "checksum: ", "integrity=", "revision ")) if kind < 2 else r.choice(("uuid=", "id: ", "request id ")) if kind == 2 else r.choice(("token = ", "example key: ", "password=")) if kind in (5, 6) else r.choice(("token: ", "password: ", "secret=", "auth: ", "PASSWORD=")) if kind == 12 else r.choice(("", "see ", "class=", "https://site.example/"))
             before = f"{prose(r.randint(0, 6))} {name}{quote if kind > 2 else ''}"
             yield value, before[-NEAR:], f"{quote} {prose(r.randint(0, 6))}"[:NEAR], path, 0
 
@@ -195,25 +199,20 @@ def trained(n: int = 2400, seed: int = 11) -> Forest:
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans to judge, left to right, without overlaps."""
     found = []
-    at = 0
-    while m := DIGIT.search(text, at):  # a run without any digit is no candidate
-        begin = m.start()
-        while begin > at and text[begin - 1] in KEY_CHARS:
-            begin -= 1
-        at = RUN.match(text, m.end()).end()
-        s = text[begin:at]
-        if len(s) < MIN_CHARS:
-            continue
+    for m in RUN.finditer(text):
+        begin, s = m.start(), m[0]
         value = s.strip("=./-~+") if s[0] in "=./-~+" else s.rstrip("./-~+")
         start = begin + s.find(value) if value else begin
         if "=" in value.rstrip("="):  # name=value
             start += value.rstrip("=").rfind("=") + 1
             value = value[value.rstrip("=").rfind("=") + 1 :]
-        if len(value) >= MIN_CHARS and any("0" <= c <= "9" for c in value) and any(c.isalpha() for c in value):
+        if len(value) >= MIN_CHARS and MIXED.search(value):
             found.append((start, start + len(value)))
-    for m in ASSIGNED.finditer(text):
-        if NAME.search(text[max(0, m.start() - 48) : m.start()]) and not any(a < m.end(1) and m.start(1) < b for a, b in found):
-            found.append(m.span(1))
+    for pattern in (ASSIGNED, BARE):
+        for m in pattern.finditer(text):
+            begin, end = m.start(1), m.start(1) + len(m[1].rstrip(",;.)]}>") if pattern is BARE else m[1])
+            if end - begin >= MIN_NAMED and NAME.search(text[max(0, m.start() - 48) : m.start()]) and not any(a < end and begin < b for a, b in found):
+                found.append((begin, end))
     return sorted(found)
 
 
