@@ -8,9 +8,10 @@ each vocabulary entry into two entries, which is the rule that rank-based
 encoders follow.  Decoding joins ids with the vocabulary and aggregates the
 bytes in position order.  Each task encodes a distinct piece once.
 
-Pieces longer than ``LONG_PIECE`` bytes (runs without any break) would need a
-pass of the whole recursion for each merge; a heap with the same contraction
-order encodes those.  Vocabulary files are read from a path that is a parameter.
+The recursion keeps the rows of every pass, so a query takes pieces of like sizes
+up to ``QUERY_ROWS`` rows over all passes: its memory has the same bound for any
+script.  Pieces longer than ``LONG_PIECE`` bytes (runs without any break) would
+need a pass for each merge; a heap with the same contraction order encodes those.  Vocabulary files are read from a path that is a parameter.
 """
 
 from __future__ import annotations
@@ -20,14 +21,17 @@ import hashlib
 import heapq
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text whose pieces are split together; pieces that a task keeps encoded; pieces of one recursive query.
-CHUNK_CHARS, CACHE_PIECES, LONG_PIECE, QUERY_PIECES = 2_000_000, 600_000, 255, 20_000
+#: Characters of text whose pieces are split together; pieces of a text that are; pieces that a task keeps encoded; see above.
+CHUNK_CHARS, CHUNK_PIECES, CACHE_PIECES, LONG_PIECE = 2_000_000, 500_000, 600_000, 255
+#: Bytes of the pieces of one recursive query; rows of all its passes (a piece of n bytes has n + ... + 1 at most); ids decoded together.
+QUERY_BYTES, QUERY_ROWS, DECODE_IDS = 250_000, 6_000_000, 1_000_000
 
 ENCODE_SQL = """
 WITH RECURSIVE step(w, pos, id, nid, n) AS (
@@ -94,8 +98,7 @@ class Vocabulary:
                 self.encoded[piece] = np.array(self.long_piece(raw), dtype="<u4").tobytes()
             else:
                 todo.append((piece, raw))
-        for i in range(0, len(todo), QUERY_PIECES):
-            part = todo[i : i + QUERY_PIECES]
+        for part in _batches(todo):
             self.encoded.update(zip((p for p, _ in part), self.recurse([raw for _, raw in part]), strict=True))
         new = list({self.encoded[p] for p in pieces} - self.decoded.keys())
         self.decoded.update(zip(new, self.decode(new), strict=True))
@@ -121,6 +124,24 @@ class Vocabulary:
 
     def decode(self, sequences: list[bytes]) -> list[bytes]:
         """Bytes of each id sequence by ordered aggregation; an id outside the vocabulary raises."""
+        parts, sizes = [], []
+        for x in sequences:
+            cut = [x[i : i + 4 * DECODE_IDS] for i in range(0, len(x), 4 * DECODE_IDS)]
+            parts += cut
+            sizes.append(len(cut))
+        raw: list[bytes] = []
+        held, size = [], 0
+        for x in parts:
+            if held and size + len(x) > 4 * DECODE_IDS:
+                raw += self._decode(held)
+                held, size = [], 0
+            held.append(x)
+            size += len(x)
+        raw += self._decode(held)
+        ends = np.cumsum(sizes).tolist() if sizes else []
+        return [b"".join(raw[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+
+    def _decode(self, sequences: list[bytes]) -> list[bytes]:
         if not sequences:
             return []
         counts = np.array([len(x) // 4 for x in sequences])
@@ -170,26 +191,60 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
-    held, size = [], 0
-    for text in texts:
-        held.append(text or "")
-        size += len(held[-1])
-        if size >= CHUNK_CHARS:
+def _batches(todo: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    """Pieces of like sizes together, as many as a query's passes have room for: memory is bounded for any script."""
+    held, size, rows = [], 0, 0
+    for piece, raw in sorted(todo, key=lambda x: len(x[1])):
+        n = len(raw)
+        if held and (size + n > QUERY_BYTES or rows + n * (n + 1) // 2 > QUERY_ROWS):
             yield held
-            held, size = [], 0
+            held, size, rows = [], 0, 0
+        held.append((piece, raw))
+        size += n
+        rows += n * (n + 1) // 2
     if held:
         yield held
 
 
+def encoded_blocks(v: Vocabulary, pattern, texts: Iterable[str | None]) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Blocks of ``(text number, id sequences of pieces)``; a long text comes in several, in order.
+
+    The decoded form of a block's sequences is known until the next is asked for.
+    """
+    held: list[tuple[int, list[str]]] = []
+    size = 0
+
+    def known():
+        v.learn(set().union(*(p for _, p in held)))
+        get = v.encoded.__getitem__
+        return [(i, [get(p) for p in pieces]) for i, pieces in held]
+
+    for i, text in enumerate(texts):
+        text = text or ""
+        if len(text) <= CHUNK_CHARS:
+            held.append((i, pattern.findall(text)))
+            size += len(text)
+        else:
+            found = (m[0] for m in pattern.finditer(text))
+            while part := list(islice(found, CHUNK_PIECES)):
+                held.append((i, part))
+                yield known()
+                held, size = [], 0
+        if size >= CHUNK_CHARS:
+            yield known()
+            held, size = [], 0
+    if held:
+        yield known()
+
+
 def encode_texts(v: Vocabulary, pattern, texts: Iterable[str | None]) -> Iterator[list[bytes]]:
     """For each text the id sequences of its pieces, in order."""
-    for chunk in _chunks(list(texts)):
-        split = [pattern.findall(x) for x in chunk]
-        v.learn(set().union(*split))
-        get = v.encoded.__getitem__
-        for pieces in split:
-            yield [get(p) for p in pieces]
+    texts = list(texts)
+    out: list[list[bytes]] = [[] for _ in texts]
+    for block in encoded_blocks(v, pattern, texts):
+        for i, sequences in block:
+            out[i] += sequences
+    yield from out
 
 
 def _setup(path: str, pattern: str | None):
@@ -258,14 +313,17 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
     def run(batches):
         v, p = _setup(path, pattern)
         for b in batches:
-            count, coded, plain = [], [], []
-            for sequences in encode_texts(v, p, b.column(1).to_pylist()):
-                ids = b"".join(sequences)
+            count = [0] * b.num_rows
+            coded, plain = [hashlib.sha256() for _ in count], [hashlib.sha256() for _ in count]
+            for block in encoded_blocks(v, p, b.column(1).to_pylist()):
                 back = v.decoded
-                count.append(len(ids) // 4)
-                coded.append(hashlib.sha256(ids).hexdigest())
-                plain.append(hashlib.sha256(b"".join([back[x] for x in sequences])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), pa.array(coded), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                for i, sequences in block:
+                    ids = b"".join(sequences)
+                    count[i] += len(ids) // 4
+                    coded[i].update(ids)
+                    plain[i].update(b"".join([back[x] for x in sequences]))
+            digests = (pa.array([h.hexdigest() for h in hs], pa.string()) for hs in (coded, plain))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
