@@ -1,7 +1,7 @@
 """PII: fixed base patterns plus a semi-Markov conditional random field over whole spans.
 
 The base finds email, ip, card and phone by their patterns.  The field reads the
-tokens around every digit and ``@``; each candidate segment of up to
+tokens around every digit, ``@`` and spelled-out ``at``; each candidate segment of up to
 ``MAX_TOKENS`` tokens is scored as a whole (shape, checks, neighbours, cue words)
 for each type, every other token is a segment of its own, and a dynamic program
 over boundaries picks segments and types jointly.  It is trained by conditional
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,16 +26,19 @@ from pyspark.sql import functions as F
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
 ORDER = {k: i for i, k in enumerate(KINDS)}
-MAX_TOKENS = 17
-#: Characters around a digit or ``@`` that belong to its zone.
+#: Tokens of a candidate segment: the longest spaced account numbers have 18 to 22.
+MAX_TOKENS = 24
+#: Characters around a trigger that belong to its zone.
 REACH = 56
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: A match starts where its digits start (if that fails, so does every later digit of the run), so a run is read once.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[\[(](?:at|AT)[\])]| (?:at|AT) (?=[A-Za-z0-9-]+(?: (?:dot|DOT) | ?[\[(]dot[\])]|\.[A-Za-z]))")
 TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\W\d_]+|[^\S\n]+|.", re.S)
+DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -57,10 +61,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
             found.append(("email", start, m.end()))
             last = m.end()
         at = text.find("@", max(at + 1, last))
-    if not TRIGGER.search(text):
+    if not DIGIT.search(text):
         return found
     for m in IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d) <= 3 and int(d or "0") <= 255 for d in (p.lstrip("0") for p in m[0].split("."))):
             found.append(("ip", *m.span()))
     for m in CARD.finditer(text):
         digits = NOT_DIGIT.sub("", m[0])
@@ -235,7 +239,7 @@ class SemiCrf:
 
 
 def zones(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches around digits and ``@``; only they can hold an entity of these types."""
+    """Stretches around digits, ``@`` and spelled-out ``at``; only they can hold an entity of these types."""
     start = end = -1
     at = 0
     while m := TRIGGER.search(text, at):
@@ -274,7 +278,7 @@ def labelled_snippets(n: int = 360, seed: int = 3) -> Iterator[tuple[str, set[tu
         return full if r.random() < 0.5 else " ".join(full[i : i + 4] for i in range(0, len(full), 4))
 
     real = {
-        "email": lambda: r.choice((f"{w()}.{d(2)}@mail{d(1)}.example.com", f"{w()}@{w()}.org", f"{w()} at {w()}{d(1)} dot com", f"{w()}{d(2)} [at] {w()} [dot] net")),
+        "email": lambda: r.choice((f"{w()} at {w()} dot {r.choice(('com', 'net', 'org', 'edu'))}", f"{w()}.{w()} [at] {w()} [dot] {w()}", f"{w()} (at) {w()}.org", f"{w()}.{d(2)}@mail{d(1)}.example.com", f"{w()}@{w()}.org", f"{w()} at {w()}{d(1)} dot com", f"{w()}{d(2)} [at] {w()} [dot] net")),
         "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)), "card": card,
         "phone": lambda: r.choice((f"+1 ({d(3)}) {d(3)}-{d(4)}", f"+49 {d(3)} {d(7)}", f"({d(3)}) {d(3)}-{d(4)}", f"{r.randint(201, 989)}-{d(3)}-{d(4)}", f"0{d(3)} {d(6)}")),
         "iban": iban, "ssn": lambda: f"{r.randint(100, 665)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}",
@@ -282,7 +286,7 @@ def labelled_snippets(n: int = 360, seed: int = 3) -> Iterator[tuple[str, set[tu
     fake = (
         lambda: not_card(), lambda: "token = \"" + "".join(r.choice("0123456789abcdef") for _ in range(40)) + "\"", lambda: f"Version {d(1)}.{d(1)}", lambda: f"version {d(1)}.{d(2)}.{d(1)}.{d(4)}", lambda: f"20{d(2)}-0{r.randint(1, 9)}-1{d(1)}",
         lambda: f"{d(2)}/{d(2)}/20{d(2)}", lambda: d(r.randint(1, 6)), lambda: f"{d(3)}.{d(2)} EUR", lambda: f"page {d(3)}", lambda: f"order {d(9)}", lambda: f"{r.randint(256, 999)}.{d(2)}.{d(3)}.{d(2)}", lambda: f"@{w()}", lambda: f"{w()} at {d(2)}", lambda: f"{d(3)}-{d(2)}", lambda: f"{d(8)}-{d(4)}-{d(4)}", lambda: d(r.randint(20, 30)),
-        lambda: "TOKEN = \"" + "".join(r.choice("0123456789ABCDEF") for _ in range(40)) + "\"", lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24)), lambda: f"{w()} at {d(2)}.{w()}", lambda: f"{d(16)} That {w()}. {w()}",
+        lambda: "TOKEN = \"" + "".join(r.choice("0123456789ABCDEF") for _ in range(40)) + "\"", lambda: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24)), lambda: f"{w()} at {d(2)}.{w()}", lambda: f"{w()} at {w()} dot", lambda: f"{w()} at {w()}.", lambda: f"{d(16)} That {w()}. {w()}",
     )
     for _ in range(n):
         text, gold = "", set()
@@ -315,10 +319,18 @@ def spans(text: str | None, model: SemiCrf) -> tuple[list[tuple[str, int, int]],
     if not text:
         return [], []
     base = base_spans(text)
+    lows, highs = [], []  # what the base covers, as disjoint stretches in order
+    for _, i, j in base:
+        if highs and i < highs[-1]:
+            highs[-1] = max(highs[-1], j)
+        else:
+            lows.append(i)
+            highs.append(j)
     every = list(base)
     for a, b in zones(text):
         for k, i, j in model.decode(Zone(text, a, b)):
-            if all(j <= s or e <= i for _, s, e in every):
+            at = bisect_right(highs, i)  # the first stretch that ends after the span starts
+            if at == len(lows) or j <= lows[at]:
                 every.append((k, i, j))
     return base, sorted(every, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
@@ -330,6 +342,11 @@ def _said(found: list[tuple[str, int, int]]) -> str:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row; a null text counts as empty.
 
+    A null id stays null, repeated rows are reported each, extra columns are
+    ignored, and an empty table gives an empty result.  A text is read whole, in
+    time that grows with its length; the field's spans hold ``MAX_TOKENS`` tokens
+    at most, the base's have no bound.
+
     Counts and digest are of the base; offsets are code points, ends exclusive.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())  # a model of fixed size
