@@ -103,15 +103,15 @@ def test_masks_find_thirteen_tokens_with_two_changes():
         assert any(all(m[k] == "0" or o + k not in gone for k in range(len(m))) for m in D.MASKS for o in range(13 - len(m) + 1))
 
 
-@pytest.mark.parametrize("limit", [D.BROADCAST_TOKENS, 0])
+@pytest.mark.parametrize("limit", [D.BROADCAST_BYTES, 0])
 def test_overlaps(spark, limit):
     words = ITEM.split()
     changed = " ".join("CHANGED" if i in (3, 9, 15) else w for i, w in enumerate(words))
     rows = [*EDGES, (11, f"before {ITEM}, after"), (12, f"Before {changed.upper()} after"), (13, " ".join(words[:8])), (14, " ".join(reversed(words)))]
     bench = spark.createDataFrame([(1, ITEM), (2, None), (None, "x y"), (3, "")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): (r.start, r.n_tokens, r.n_equal) for r in D.overlaps(docs(spark, rows), bench, broadcast_tokens=limit).collect()}
+    got = {(r.doc_id, r.item_id): (r.start, r.n_tokens, r.n_equal) for r in D.overlaps(docs(spark, rows), bench, broadcast_bytes=limit).collect()}
     assert got == {(11, 1): (1, 19, 19), (12, 1): (1, 19, 16)}
-    kept = D.without_overlaps(docs(spark, rows), bench, broadcast_tokens=limit)
+    kept = D.without_overlaps(docs(spark, rows), bench, broadcast_bytes=limit)
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 2, 3, 3, None, 4, 5, 13, 14], key=str)
     assert D.overlaps(docs(spark, rows).limit(0), bench).count() == 0 and D.overlaps(docs(spark, rows), bench.limit(0)).count() == 0
 
