@@ -59,12 +59,21 @@ def test_index_finds_every_link():
     assert got == {(i, int(j)) for i in range(len(v)) for j in np.flatnonzero(np.bitwise_count(v[i] ^ v[i + 1 :]) <= 2) + i + 1}
 
 
-@pytest.mark.parametrize("file_rows", [2048, 3])
-def test_links_span_the_components(spark, file_rows):
+def test_a_search_drops_whole_groups():
+    v = np.unique(np.random.default_rng(4).integers(0, 2**63, 40_000, dtype=np.uint64))
+    index = G.GrayIndex(v)
+    assert sum(len(a) for a, _ in index.links()) == 0
+    assert index.pruned > 0.8 * index.visited and index.visited < len(v) ** 2 / 20
+
+
+@pytest.mark.parametrize("range_rows, least_rows", [(1 << 20, 4096), (20, 3), (400, 2)])
+def test_links_span_the_components(spark, range_rows, least_rows):
     v = near_values(300)
-    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x, i) for i, x in enumerate(v)], "fp long, rep long")
-    got = {r.node: r.component for r in connected_components(G.links(df, file_rows)).collect()}
-    assert [got.get(i, i) for i in range(len(v))] == roots(v)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in v], "fp long")
+    got = {r.node: r.component for r in connected_components(G.links(df, 2, range_rows, least_rows)).collect()}
+    signed = [x - (1 << 64) if x >> 63 else x for x in v]
+    sets = lambda names: {frozenset(i for i, n in enumerate(names) if n == m) for m in set(names)}
+    assert sets([got.get(x, x) for x in signed]) == sets(roots(v))
 
 
 def test_groups_and_edge_cases(spark):
@@ -74,8 +83,14 @@ def test_groups_and_edge_cases(spark):
     assert got == sorted([(5, 2), (2, 2), (9, 7), (7, 7), (5, 2), (None, 2), (1, 1)], key=str)
     kept = G.one_of_each(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 7, None]
-    assert G.simhash_groups(df.limit(0)).count() == 0
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == [1, 2, 7]
+    assert G.simhash_groups(df.limit(0)).count() == 0 and G.one_of_each(df.limit(0)).count() == 0
+
+
+def test_one_of_each_goes_by_rows_not_by_ids(spark):
+    rows = [(5, "this text is one"), (5, "and that text is quite another"), (5, "this text is one"), (None, "a third text of no id"), (None, "this text is one")]
+    df = spark.createDataFrame([(i, t, "n", "r") for i, t in rows], "doc_id long, text string, _n string, _r string")
+    assert sorted(((r.doc_id, r.text) for r in G.one_of_each(df).collect()), key=str) == sorted({(5, rows[0][1]), (5, rows[1][1]), (None, rows[3][1])}, key=str)
 
 
 def test_components_of_a_chain_and_a_star(spark):
