@@ -1,14 +1,12 @@
-"""Shared plumbing of the training-data operators: tables, checkpoints, Arrow maps."""
+"""Shared plumbing of the training-data operators: tables and checkpoints."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
-from collections.abc import Callable, Iterator
+import uuid
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,11 +14,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; a local folder only where none is set."""
+    """Use the cluster's ``spark.checkpoint.dir``; where none is set, a local folder for a local master only."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="folia-checkpoint-"))
 
 
@@ -30,46 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def arrow_map(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]], schema: T.StructType | str
-) -> DataFrame:
-    """Apply a column-dict function to each Arrow batch.
-
-    ``make`` runs once per task and returns the batch function, so that models
-    and compiled patterns are set up once.  Only the columns that the function
-    returns leave the task.
-    """
-    struct = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out = to_arrow_schema(struct)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = make()
-        for batch in batches:
-            if batch.num_rows:
-                got = f(batch)
-                yield pa.RecordBatch.from_arrays([pa.array(got[x.name], type=x.type) for x in out], schema=out)
-
-    return df.mapInArrow(run, struct)
-
-
-def sliced(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for i in range(0, batch.num_rows, rows):
-        yield batch.slice(i, rows)
-
-
-def with_id(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns: extra columns of the input never reach an operator's shuffle."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
-
-
 def cut_table(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed columnar table under the shared checkpoint folder."""
-    import uuid
-
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     where = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4().hex}"
     df.write.parquet(where)
     return spark.read.schema(df.schema).parquet(where)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove a table of ``cut_table`` that nothing reads any more, and the shuffle files that nothing refers to."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(conf).delete(path, True)
+    gc.collect()
+    jvm.System.gc()
