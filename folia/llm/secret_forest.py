@@ -1,7 +1,8 @@
 """Secret scans: candidate strings judged by a random forest.
 
-Candidates are all runs of key-like characters that hold a digit or a mix of
-cases, and values behind a password-like name, quoted or not.  A forest over length,
+Candidates are all runs of ``MIN_CHARS`` or more key-like characters that hold a
+digit or a mix of cases, and values of ``MIN_NAMED`` or more characters behind a
+password-like name, quoted or not; neither has an upper bound.  A forest over length,
 character transitions, dictionary coverage, path and neighbouring words removes
 the false positives; it is trained from labelled findings that
 ``labelled_findings`` makes from a seed (keys of many kinds; checksums, commits,
@@ -14,6 +15,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -26,9 +28,10 @@ from pyspark.sql import types as T
 
 MIN_CHARS, MIN_NAMED = 16, 8
 RUN, MIXED = re.compile(r"[A-Za-z0-9_+/=~.-]{%d,}" % MIN_CHARS), re.compile(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
-ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']([^\"'\s]{%d,200})[\"']" % MIN_NAMED)
-BARE = re.compile(r"(?::=|=>|[:=])[ \t]{0,3}([^\"'\s]{%d,200})" % MIN_NAMED)
-NAME = re.compile(r"(?i)(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)\w{0,24}[\"']?\s{0,3}\Z")
+#: A value in quotes, or up to the next space, after an assignment; of any length.
+ASSIGNED = re.compile(r"[:=]\s*+[\"']([^\"'\s]{%d,}+)[\"']" % MIN_NAMED)
+BARE = re.compile(r"(?::=|=>|[:=])[ \t]*+([^\"'\s]{%d,}+)" % MIN_NAMED)
+NAME = re.compile(r"(?i)(?:(?<![a-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth)")
 REDACTED = "[secret removed]"
 THRESHOLD = 0.5
 NEAR = 48
@@ -196,6 +199,18 @@ def trained(n: int = 2400, seed: int = 11) -> Forest:
     return Forest([features(*x[:4]) for x in rows], [x[4] for x in rows])
 
 
+def name_before(text: str, at: int) -> str:
+    """The identifier in front of an assignment, whatever its length, without quotes and spaces between."""
+    while at > 0 and text[at - 1].isspace():
+        at -= 1
+    if at > 0 and text[at - 1] in "\"'":
+        at -= 1
+    start = at
+    while start > 0 and (text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return text[start:at]
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Spans to judge, left to right, without overlaps."""
     found = []
@@ -211,9 +226,11 @@ def candidates(text: str) -> list[tuple[int, int]]:
     for pattern in (ASSIGNED, BARE):
         for m in pattern.finditer(text):
             begin, end = m.start(1), m.start(1) + len(m[1].rstrip(",;.)]}>") if pattern is BARE else m[1])
-            if end - begin >= MIN_NAMED and NAME.search(text[max(0, m.start() - 48) : m.start()]) and not any(a < end and begin < b for a, b in found):
-                found.append((begin, end))
-    return sorted(found)
+            at = bisect_left(found, (begin, begin))
+            free = (at == 0 or found[at - 1][1] <= begin) and (at == len(found) or end <= found[at][0])
+            if end - begin >= MIN_NAMED and free and NAME.search(name_before(text, m.start())):
+                found.insert(at, (begin, end))
+    return found
 
 
 def scan_text(text: str | None, path: str, forest: Forest) -> list[tuple[int, int, float]]:
@@ -252,7 +269,11 @@ def findings(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with each secret replaced by a mark; ``n_chars``, if there, follows the text."""
+    """``docs`` with each secret replaced by a mark; ``n_chars``, if there, follows the text.
+
+    Null and empty texts stay as they are; repeated rows are treated alike; extra
+    columns are unchanged; an empty table stays empty.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     forest = docs.sparkSession.sparkContext.broadcast(trained())

@@ -28,3 +28,24 @@ def test_forest_judges_the_new_candidates():
     words = ("required", "undefined", "remember", "somewhere", "everything")
     assert not any(hit(f"the password: {w} of it") for w in words)
     assert not any(hit(f"call {w} of it") for w in ("getElementsByClassName", "InternationalStandards", "IntegerConversionError", "github.com/Apache/Commons/Readme"))
+
+
+def test_no_upper_bound_on_values_names_or_spaces():
+    from folia.llm import secret_forest as S
+
+    for value in ("aB3x" * 80, "correct" * 60, "AbCdEfGhIjKlMnOpQrStUvWxYz"):
+        for text in (f'password = "{value}"', f"my_secret_{'x' * 60}_name =      '{value}'", f"token: {value}"):
+            at = text.index(value)
+            assert (at, at + len(value)) in S.candidates(text), text[:60]
+
+
+def test_many_assignments_take_linear_time():
+    import time
+
+    from folia.llm import secret_forest as S
+
+    text = 'password = "hunterhunter" ' * 20_000
+    began = time.time()
+    assert len(S.candidates(text)) == 20_000
+    assert time.time() - began < 10
+    assert S.candidates("a=" * 200_000) is not None and S.candidates('="' * 200_000) is not None
