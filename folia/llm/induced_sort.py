@@ -24,16 +24,17 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queued tuples in memory; symbols of a text in memory; names that are sorted in memory.
-QUEUE_BYTES, TEXT_ROWS, BASE_ROWS = 256 << 20, 64 << 20, 32 << 20
+#: Bytes of queued tuples in memory; symbols of a text in memory; names that are sorted in memory.  An ordinary shard passes all three.
+QUEUE_BYTES, TEXT_ROWS, BASE_ROWS = 1 << 20, 1 << 20, 1 << 18
 FAR = np.iinfo(np.int32).max
 
 
 class Workspace:
-    """A task's folder for queues and texts; gone when the sort ends."""
+    """A task's folder for queues and texts; gone when the sort ends.  ``spills``, ``mapped`` and ``depth`` tell what went to disk and how deep."""
 
     def __init__(self, queue_bytes: int = QUEUE_BYTES, text_rows: int = TEXT_ROWS):
         self.queue_bytes, self.text_rows, self.folder, self.files = queue_bytes, text_rows, "", 0
+        self.spills = self.mapped = self.depth = 0
 
     def path(self) -> str:
         self.folder = self.folder or tempfile.mkdtemp(prefix="induced-")
@@ -43,6 +44,7 @@ class Workspace:
     def text(self, symbols: np.ndarray) -> np.ndarray:
         if len(symbols) <= self.text_rows:
             return symbols
+        self.mapped += 1
         out = np.memmap(self.path(), dtype=symbols.dtype, mode="w+", shape=symbols.shape)
         out[:] = symbols
         return out
@@ -68,6 +70,7 @@ class TupleQueue:
 
     def _spill(self, bucket: int) -> None:
         kept = []
+        self.space.spills += 1
         for chunk in self.chunks[bucket]:
             if isinstance(chunk, str):
                 kept.append(chunk)
@@ -263,6 +266,7 @@ def induced_sort(text: np.ndarray, space: Workspace, depth: int | None = None, b
     if len(lms) <= base_rows or names.max() == len(lms):
         order, common = doubled(names, None if depth is None else depth // 2 + 2)
     else:
+        space.depth += 1
         order, common = induced_sort(names, space, None if depth is None else depth // 2 + 2, base_rows)
     a, b = order[:-1], order[1:]
     edge = np.append(lms, len(wide)).astype(np.int64)

@@ -10,13 +10,19 @@ to end in shards of whole anchors and sorted by external induced sorting; window
 whose common prefix reaches the window's length repeat.  The anchor itself is one
 symbol there, as it is the same in all.  Results go back to every run.
 
-An anchor with very many different runs is cut into ranges of the window's
-offset to the anchor first; equal windows have equal offsets, so no match is lost.
+An anchor with very many different runs (a line that thousands of documents
+share, each with other neighbours) is dealt by a second anchor: the smallest gram
+of the longer side of the window outside the first one.  Equal windows have equal
+second anchors, so no match is lost, and runs whose neighbours differ part ways.
+A shard goes to the task's disk as it comes; the sorter's queues, its texts and
+its recursion are given less memory than a shard takes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +34,8 @@ from folia.llm.common import cut_table
 from folia.llm.induced_sort import Workspace, induced_sort
 
 WINDOW, ANCHOR = 200, 80
-#: Bytes that a task hashes together, symbols of a shard, different runs of an anchor beyond which it is cut.
-CHUNK_BYTES, SHARD_ROWS, CUT_RUNS, CUT_STEP = 1_500_000, 4_000_000, 2_000, 16
+#: Bytes that a task hashes together, symbols of a shard, different runs of an anchor beyond which it is dealt again, bytes of a second anchor.
+CHUNK_BYTES, SHARD_ROWS, CUT_RUNS, SECOND = 1_500_000, 4_000_000, 2_000, 24
 _LOW = np.uint64((1 << 30) - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -129,8 +135,34 @@ def _runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.select("row", "text").mapInArrow(run, "key long, full long, row long, s int, e int, p int")
 
 
-def _slices(rows: DataFrame, window: int) -> DataFrame:
-    """(key, block, full, from, at, bytes): the text of each listed run, cut by offset where the anchor is crowded."""
+_TIMES = np.array([pow(int(_BASE), i + 1, 1 << 64) for i in range(64)], dtype=np.uint64)
+
+
+def second_anchors(run: bytes, place: int, count: int, window: int, anchor: int, size: int = SECOND) -> list[tuple[int, int, int]]:
+    """(second anchor, first, last start) of neighbouring windows of a run; ``place`` is the first anchor's place in it."""
+    if len(run) < size or window - anchor < 2 * size:
+        return [(1, 0, count - 1)]
+    raw = np.frombuffer(run, dtype=np.uint8)
+    grams = (np.lib.stride_tricks.sliding_window_view(raw, size).astype(np.uint64) * _TIMES[:size]).sum(axis=1, dtype=np.uint64)
+    grams ^= grams >> np.uint64(31)
+    grams *= np.uint64(0xBF58476D1CE4E5B9)
+    j = np.arange(count)
+    left = place - j >= (window - anchor) // 2
+    code = np.zeros(count, dtype=np.uint64)
+    if left.any():  # grams from the window's start up to the anchor
+        lowest = np.minimum.accumulate(grams[: place - size + 1][::-1])[::-1]
+        code[left] = lowest[j[left]]
+    if not left.all():  # grams from the anchor's end up to the window's
+        lowest = np.minimum.accumulate(grams[place + anchor :])
+        code[~left] = lowest[j[~left] + window - size - place - anchor]
+    code = (code >> np.uint64(2)).astype(np.int64) * 2 + left
+    edges = np.flatnonzero(code[1:] != code[:-1]) + 1
+    return [(int(code[lo]) or 1, int(lo), int(hi) - 1) for lo, hi in zip([0, *edges], [*edges, count], strict=True)]
+
+
+def _slices(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """(key, block, full, from, at, bytes): the text of each listed run, cut by second anchors where the anchor is crowded."""
+    size = SECOND
 
     def run(batches):
         for b in batches:
@@ -141,45 +173,93 @@ def _slices(rows: DataFrame, window: int) -> DataFrame:
                     t, count = r["p"] - r["s"], r["e"] - r["s"] + 1
                     cuts = [(0, 0, count - 1)]
                     if r["crowded"]:
-                        ranges: dict[int, list[int]] = {}
-                        for j in range(count):
-                            ranges.setdefault((t - j) // CUT_STEP, []).append(j)
-                        cuts = [(1 + k, js[0], js[-1]) for k, js in ranges.items()]
+                        cuts = second_anchors(raw[r["s"] : r["e"] + window], t, count, window, anchor, size)
                     for block, lo, hi in cuts:
                         got = (r["key"], block, r["full"], lo, t - lo, raw[r["s"] + lo : r["s"] + hi + window])
                         for column, value in zip(out, got, strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["key", "block", "full", "lo", "at", "bytes"])
 
-    return rows.mapInArrow(run, "key long, block int, full long, lo int, at int, bytes binary")
-
-
-def repeated_starts(texts: list[bytes], anchors: list[int], groups: list[int], window: int, anchor: int, space: Workspace) -> list[list[tuple[int, int]]]:
-    """For each text the ranges of window starts whose window another start of its group also has.
-
-    ``anchors`` are the anchor's places in the texts.  Texts are laid end to end
-    with a mark between them and sorted as suffixes.
+    return rows.mapInArrow(run, "key long, block long, full long, lo int, at int, bytes binary")
+
+
+class Shard:
+    """Slices of whole groups: their symbols on disk, their places in arrays; a slice that its group has already is only counted."""
+
+    def __init__(self, space: Workspace, window: int, anchor: int):
+        self.space, self.window, self.anchor = space, window, anchor
+        self.path = space.path()
+        self.file = open(self.path, "wb")
+        self.size = self.n = 0
+        self.begin, self.starts, self.marks, self.group = (array("q") for _ in range(4))
+        self.owner: list[array] = [array("q") for _ in range(4)]  # slice, key, full, first start
+        self.many = bytearray()
+        self.groups: dict[tuple, int] = {}
+        self.seen: dict[tuple, int] = {}
+        self.last: tuple | None = None
+
+    def add(self, key: int, block: int, full: int, lo: int, at: int, raw: bytes) -> None:
+        if (key, block) != self.last:
+            self.last = (key, block)
+            self.seen, self.groups = {}, {}
+        digest = (at, hashlib.blake2b(raw, digest_size=16).digest())
+        if (k := self.seen.get(digest)) is None:
+            gram = raw[at : at + self.anchor]
+            if gram not in self.groups:
+                self.groups[gram] = self.n
+                self.n += 1
+            k = self.seen[digest] = len(self.begin)
+            symbols = np.frombuffer(raw[:at] + b"\0" + raw[at + self.anchor :] + b"\0", dtype=np.uint8).astype(np.uint16) + np.uint16(2)
+            symbols[at], symbols[-1] = 258, 1
+            self.file.write(symbols.tobytes())
+            self.begin.append(self.size)
+            self.starts.append(len(raw) - self.window + 1)
+            self.group.append(self.groups[gram])
+            self.many.append(0)
+            self.size += len(symbols)
+        else:
+            self.many[k] = 1
+        for column, value in zip(self.owner, (k, key, full, lo), strict=True):
+            column.append(value)
+
+    def found(self) -> pa.RecordBatch:
+        """(key, full, lo, hi) of every added slice."""
+        self.file.close()
+        symbols = np.memmap(self.path, dtype=np.uint16, mode="r")
+        begin, starts, group = (np.frombuffer(x, dtype=np.int64) for x in (self.begin, self.starts, self.group))
+        k, lo, hi = repeated_starts(symbols, begin, starts, group, self.window - self.anchor + 1, self.space)
+        del symbols
+        os.remove(self.path)
+        whole = np.flatnonzero(np.frombuffer(bytes(self.many), dtype=np.uint8))  # a slice that stands twice repeats as a whole
+        k, lo, hi = np.concatenate([k, whole]), np.concatenate([lo, np.zeros(len(whole), np.int64)]), np.concatenate([hi, starts[whole] - 1])
+        order = np.argsort(k, kind="stable")
+        k, lo, hi = k[order], lo[order], hi[order]
+        owner, key, full, first = (np.frombuffer(x, dtype=np.int64) for x in self.owner)
+        low, high = np.searchsorted(k, owner, "left"), np.searchsorted(k, owner, "right")
+        n = high - low
+        at = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        rows = np.repeat(np.arange(len(owner)), n)
+        columns = (pa.array(key[rows]), pa.array(full[rows]), pa.array((first[rows] + lo[at]).astype(np.int32)), pa.array((first[rows] + hi[at]).astype(np.int32)))
+        return pa.RecordBatch.from_arrays(list(columns), names=["key", "full", "lo", "hi"])
+
+
+def repeated_starts(symbols: np.ndarray, begin: np.ndarray, starts: np.ndarray, groups: np.ndarray, depth: int, space: Workspace) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first, last): ranges of window starts whose ``depth`` symbols another start of the text's group also has.
+
+    Texts lie end to end from ``begin`` on, with a mark behind each, and have
+    ``starts`` window starts.  They are sorted as suffixes.
     """
-    joined = b"".join(x + b for t, a in zip(texts, anchors, strict=True) for x, b in ((t[:a], b"\0"), (t[a + anchor :], b"\0")))
-    symbols = np.frombuffer(joined, dtype=np.uint8).astype(np.uint16) + np.uint16(2)
-    sizes = np.array([len(t) - anchor + 2 for t in texts])
-    begin = np.cumsum(sizes) - sizes
-    symbols[begin + np.array(anchors)] = 258
-    symbols[begin + sizes - 1] = 1
-    depth = window - anchor + 1
     sa, lcp = induced_sort(symbols, space, depth)
-    starts = np.array([len(t) - window + 1 for t in texts])
     edges = np.zeros(len(symbols) + 1, dtype=np.int8)
     np.add.at(edges, begin, 1)
     np.add.at(edges, begin + starts, -1)
-    is_start = np.cumsum(edges[:-1]) > 0
+    is_start = np.cumsum(edges[:-1], dtype=np.int8) > 0
     chosen = np.flatnonzero(is_start[sa])
     place = sa[chosen]
     same = np.cumsum(lcp < depth)[chosen]
     owner = np.searchsorted(begin, place, "right") - 1
-    kinds = np.array(groups, dtype=np.int64)
-    pair = same.astype(np.int64) * (int(kinds.max()) + 1) + kinds[owner]
+    pair = same.astype(np.int64) * (int(groups.max(initial=0)) + 1) + groups[owner]
     order = np.argsort(pair, kind="stable")
     equal = pair[order[1:]] == pair[order[:-1]]
     hit = np.zeros(len(symbols) + 1, dtype=np.int8)
@@ -188,10 +268,8 @@ def repeated_starts(texts: list[bytes], anchors: list[int], groups: list[int], w
     # starts of neighbouring texts never touch: a mark and the window's rest lie between
     step = np.diff(np.append(np.int8(0), hit))
     lows, highs = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
-    out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for k, lo, hi in zip((np.searchsorted(begin, lows, "right") - 1).tolist(), lows.tolist(), highs.tolist(), strict=True):
-        out[k].append((lo - int(begin[k]), hi - int(begin[k])))
-    return out
+    k = np.searchsorted(begin, lows, "right") - 1
+    return k, lows - begin[k], highs - begin[k]
 
 
 def _sorted_shards(slices: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -199,28 +277,17 @@ def _sorted_shards(slices: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches):
         space = Workspace()
-        held: list[tuple] = []
-        size, last = 0, None
-
-        def flush():
-            numbers: dict[tuple, int] = {}
-            groups = [numbers.setdefault((k, block, raw[at : at + anchor]), len(numbers)) for k, block, _, _, at, raw in held]
-            found = repeated_starts([h[5] for h in held], [h[4] for h in held], groups, window, anchor, space)
-            rows = [(h[0], h[2], h[3] + lo, h[3] + hi) for h, ranges in zip(held, found, strict=True) for lo, hi in ranges]
-            columns = list(zip(*rows, strict=True)) if rows else [(), (), (), ()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["key", "full", "lo", "hi"])
-
+        shard, last = Shard(space, window, anchor), None
         try:
             for b in batches:
-                for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if size > SHARD_ROWS and row[:2] != last:
-                        yield flush()
-                        held, size = [], 0
-                    held.append(row)
-                    size += len(row[5])
-                    last = row[:2]
-            if held:
-                yield flush()
+                for key, block, *row in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                    if shard.size > SHARD_ROWS and (key, block) != last:
+                        yield shard.found()
+                        shard = Shard(space, window, anchor)
+                    last = (key, block)
+                    shard.add(key, block, *row)
+            if shard.size:
+                yield shard.found()
         finally:
             space.close()
 
@@ -232,11 +299,12 @@ def repeated_ranges(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
     many = _keys(rows, window, anchor).groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
     runs = cut_table(_runs(rows, window, anchor).join(many, "key"))
     kinds = runs.groupBy("key", "full").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "s", "e", "p")).alias("one"))
-    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    listed = kinds.join(mixed, "key").select("one.row", F.struct("key", "full", "one.s", "one.e", "one.p", (F.col("m") > CUT_RUNS).alias("crowded")).alias("run"))
+    # the counts are dealt anew by another form of the key, as are the runs: a join of two plain exchanges can be split where an anchor is crowded
+    mixed = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.bitwise_not("key").alias("_key"), "m")
+    listed = kinds.join(mixed, F.bitwise_not(kinds.key) == F.col("_key")).select("one.row", F.struct("key", "full", "one.s", "one.e", "one.p", (F.col("m") > CUT_RUNS).alias("crowded")).alias("run"))
     wanted = listed.groupBy("row").agg(F.collect_list("run").alias("runs"))  # of one text: as many as it has windows at most
     texts = rows.join(wanted, "row").dropDuplicates(["row"]).select("text", "runs")
-    slices = _slices(texts, window).repartition("key", "block").sortWithinPartitions("key", "block")
+    slices = _slices(texts, window, anchor).repartition("key", "block").sortWithinPartitions("key", "block")
     found = _sorted_shards(slices, window, anchor)
     whole = kinds.where("n > 1").select("key", "full", F.lit(0).alias("lo"), F.lit(None).cast("int").alias("hi"))
     single = found.join(kinds.where("n = 1").select("key", "full"), ["key", "full"])

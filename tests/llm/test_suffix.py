@@ -50,6 +50,7 @@ def removed(rows, window):
 @pytest.mark.parametrize("crowded", [2000, 3])
 def test_removal_on_small_alphabets(spark, monkeypatch, crowded):
     monkeypatch.setattr(S, "CUT_RUNS", crowded)
+    monkeypatch.setattr(S, "SECOND", 2)
     random.seed(2)
     rows = [(i, "".join(random.choice("ab") for _ in range(random.randint(0, 60)))) for i in range(40)]
     rows += [(100, None), (101, ""), (102, "a" * 70), (103, "ab" * 40), (103, "ab" * 40), (None, "abab" * 9), (104, "éé" * 20)]
@@ -70,3 +71,35 @@ def test_long_texts_in_pieces_and_empty_tables(spark, monkeypatch):
     parts = [p for group in _pieces([text], 200) for p in group]
     assert len(parts) == 3 and all(text.encode()[a : a + len(p)] == p for _, a, p in parts) and sum(len(p) - 199 for _, _, p in parts) == len(text) - 199
     assert S.removal_digests(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_shard_of_shipped_size_spills_maps_and_recurses():
+    rng = np.random.default_rng(6)
+    parts = [rng.integers(2, 200, 400) for _ in range(700)]
+    t = np.concatenate([parts[k] for k in rng.integers(0, 700, 3000)]).astype(np.uint16)
+    assert len(t) < S.SHARD_ROWS
+    small, large = Workspace(), Workspace(queue_bytes=1 << 34, text_rows=1 << 34)
+    sa, lcp = induced_sort(t, small, 121)
+    space = (small.spills, small.mapped, small.depth)
+    small.close()
+    assert all(space)
+    other, prefix = induced_sort(t, large, 121, 1 << 30)
+    assert not large.spills and not large.mapped and not large.depth
+    starts = [np.cumsum(x < 121) for x in (lcp, prefix)]
+    names = [np.empty(len(t), dtype=np.int64) for _ in starts]
+    for n, s, c in zip(names, (sa, other), starts):
+        n[s] = c
+    assert (names[0] == names[1]).all()  # the same suffixes agree on 121 symbols
+
+
+def test_a_crowded_line_is_dealt_by_its_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(S, "CUT_RUNS", 20)
+    r = random.Random(7)
+    some = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    line, shared = some(120), some(260)
+    rows = [(i, some(r.randint(0, 90)) + line + some(r.randint(0, 150))) for i in range(150)] + [(200 + i, some(50) + shared + some(40)) for i in range(60)] + [(300, some(30) + line + shared), (301, some(99) + line + shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, S.removal_digests(df).collect())) == sorted(removed(rows, 200))
+    cuts = [S.second_anchors(t.encode(), t.index(line), max(1, len(t) - 199), 200, 80) for i, t in rows[:150] if 200 <= len(t)]
+    codes = [c for x in cuts for c, _, _ in x]
+    assert len(set(codes)) > len(cuts) / 2
