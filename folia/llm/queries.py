@@ -34,6 +34,18 @@ def op4_url_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def url_alias_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4's operator over redirects that are made from the table: three of four pages lead to the next one."""
+    from pyspark.sql import functions as F
+
+    from folia.llm.url_alias import judge_urls
+
+    pages = table(spark, sf_dir, "pages")
+    onward = pages.select((F.col("page_id") - 1).alias("page_id"), F.col("url").alias("dst"))
+    redirects = pages.where("page_id % 4 <> 3").select("page_id", F.col("url").alias("src")).join(onward, "page_id").select("src", "dst")
+    return judge_urls(pages, redirects).select("page_id", "host", "path", "rule", "verdict", "alias_block")
+
+
 def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document with the forest's probability and decision."""
     from folia.llm.secret_forest import findings
@@ -80,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_simhash_gray": op2_simhash_gray,
         "op3_maxscore": op3_maxscore,
         "op4_url_alias": op4_url_alias,
+        "url_alias_chains": url_alias_chains,
         "op5_secret_forest": op5_secret_forest,
         "op6_ordinal_quality": op6_ordinal_quality,
         "op7_suffix_dedup": op7_suffix_dedup,
@@ -104,13 +117,13 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-#: The driver's tables hold no canonical link or redirect that leaves a url's own name, so the rules decide.
-OP4_SQL = r"""
-WITH u AS (
-  SELECT page_id,
+#: The driver's pages hold no canonical link or redirect, so the rules decide there; ``url_alias_chains`` has edges.
+RULES_SQL = r"""
+u AS (
+  SELECT page_id, url,
          CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
-  SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  SELECT page_id, url, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
 ), r AS (
   SELECT *, CASE
@@ -118,10 +131,25 @@ WITH u AS (
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM h
-)
+)"""
+OP4_SQL = f"""WITH {RULES_SQL}
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 
+#: Names as in the operator: scheme and host in lower case, no fragment; reach is the closure of the redirects both ways.
+CHAINS_SQL = rf"""WITH RECURSIVE {RULES_SQL},
+n AS (
+  SELECT r.*, CASE WHEN instr(url, '://') > 0 THEN lower(substr(url, 1, instr(url, '://') - 1)) || '://' || host || regexp_extract(regexp_replace(url, '(?s)#.*$', ''), '(?s)://[^/?]*(.*)$', 1) END AS node FROM r
+), e AS (
+  SELECT a.node AS x, b.node AS y FROM n a JOIN n b ON b.page_id = a.page_id + 1 WHERE a.page_id % 4 <> 3 AND a.node IS NOT NULL AND b.node IS NOT NULL
+), ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+reach(x, y) AS (SELECT x, x FROM ways UNION SELECT reach.x, ways.y FROM reach JOIN ways ON reach.y = ways.x),
+hit AS (SELECT DISTINCT reach.x AS node FROM reach JOIN n ON n.node = reach.y WHERE n.rule IN ('net/', 'example.com/de/'))
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NULL AND hit.node IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       rule IS NULL AND hit.node IS NOT NULL AS alias_block
+FROM n LEFT JOIN hit USING (node)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_maxscore": OP3_SQL, "op4_url_alias": OP4_SQL}
+    return {"op3_maxscore": OP3_SQL, "op4_url_alias": OP4_SQL, "url_alias_chains": CHAINS_SQL}

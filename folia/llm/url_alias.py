@@ -55,8 +55,11 @@ def _ranked(rules: Sequence[Rule]) -> list[Rule]:
     return sorted(rules, key=lambda r: (-len(r.name), r.verdict != "allow", r.name))
 
 
-def rule_columns(df: DataFrame, host: str, path: str, rules: Sequence[Rule], key: str) -> DataFrame:
-    """Adds ``rule`` and ``rule_verdict`` (both null if no rule fits); allow wins between equally long rules."""
+def rule_columns(df: DataFrame, host: str, path: str, rules: Sequence[Rule]) -> DataFrame:
+    """Adds ``rule`` and ``rule_verdict`` (both null if no rule fits); allow wins between equally long rules.
+
+    Hosts and paths are not null; any number of rules gives the same columns.
+    """
     if len(rules) <= INLINE_RULES:
         name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
         for r in reversed(_ranked(rules)):
@@ -68,13 +71,13 @@ def rule_columns(df: DataFrame, host: str, path: str, rules: Sequence[Rule], key
     table = spark.createDataFrame([(r.host, r.path, r.name, r.verdict, i) for i, r in enumerate(ranked)], "_h string, _p string, _n string, _v string, _i int")
     parts = F.split(F.col(host), r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    pairs = df.select(key, host, path).distinct().withColumn("_h", F.explode(suffixes))
+    pairs = df.select(host, path).distinct().withColumn("_h", F.explode(suffixes))
     best = (
         pairs.join(table, "_h").where(F.startswith(F.col(path), F.col("_p")))
-        .groupBy(key, host, path).agg(F.min_by(F.struct("_n", "_v"), "_i").alias("_r"))
-        .select(key, host, path, F.col("_r._n").alias("rule"), F.col("_r._v").alias("rule_verdict"))
+        .groupBy(host, path).agg(F.min_by(F.struct("_n", "_v"), "_i").alias("_r"))
+        .select(host, path, F.col("_r._n").alias("rule"), F.col("_r._v").alias("rule_verdict"))
     )
-    return df.join(best, [key, host, path], "left")
+    return df.join(best, [host, path], "left")
 
 
 def named(df: DataFrame, url: str, node: str) -> DataFrame:
@@ -107,13 +110,15 @@ def _resolve(to: str, scheme: str, host: str, path: str) -> Column:
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """``(src, dst)`` nodes from each page's canonical link and meta refresh."""
+    """``(src, dst)`` nodes from all canonical links and meta refreshes of each page, but those inside comments, scripts and styles."""
     seen = pages.select("url", "html").where("html is not null and instr(url, '://') > 0")
     seen = seen.where(F.col("html").rlike(r"(?i)canonical|http-equiv"))
-    link = F.regexp_extract("html", r"""(?is)<link\b(?=[^>]*\srel\s*=\s*["']?canonical\b)[^>]*>""", 0)
-    meta = F.regexp_extract("html", r"""(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*["']?refresh\b)[^>]*>""", 0)
-    refresh = F.regexp_extract(_attribute(meta, "content"), r"""(?is)url\s*=\s*["']?([^"']+)""", 1)
-    ends = seen.select("url", F.explode(F.array(_attribute(link, "href"), refresh)).alias("to")).where("to <> ''")
+    bare = F.regexp_replace("html", r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\z)", " ")
+    links = F.regexp_extract_all(bare, F.lit(r"""(?is)<link\b(?=[^>]*\srel\s*=\s*["']?canonical\b)[^>]*>"""), F.lit(0))
+    metas = F.regexp_extract_all(bare, F.lit(r"""(?is)<meta\b(?=[^>]*\shttp-equiv\s*=\s*["']?refresh\b)[^>]*>"""), F.lit(0))
+    tags = seen.select("url", F.explode(F.concat(F.transform(links, lambda t: F.struct(F.lit("href").alias("kind"), t.alias("tag"))), F.transform(metas, lambda t: F.struct(F.lit("content").alias("kind"), t.alias("tag"))))).alias("t"))
+    target = F.when(F.col("t.kind") == "href", _attribute(F.col("t.tag"), "href")).otherwise(F.regexp_extract(_attribute(F.col("t.tag"), "content"), r"""(?is)url\s*=\s*["']?([^"']+)""", 1))
+    ends = tags.select("url", target.alias("to")).where("to <> ''")
     ends = ends.withColumn("to", F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&")))
     ends = ends.withColumns({"scheme": F.regexp_extract("url", r"^([^:]*)://", 1), "host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     ends = ends.select("url", _resolve("to", "scheme", "host", "path").alias("to"))
@@ -130,14 +135,14 @@ def judge_urls(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequ
     blocks it; else ``default``.
     """
     base = pages.select(key, "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    judged = rule_columns(base, "host", "path", rules, key)
+    judged = rule_columns(base, "host", "path", rules)
     edges = page_edges(pages)
     if redirects is not None:
         seen = redirects.select(F.col("src").alias("_s"), F.col("dst").alias("_d"))
         edges = edges.unionByName(named(named(seen, "_s", "src"), "_d", "dst").select("src", "dst"))
     groups = connected_components(edges)
     parts = groups.withColumns({"host": host_of(F.col("node")), "path": path_of(F.col("node"))})
-    own = rule_columns(parts, "host", "path", rules, "node")
+    own = rule_columns(parts, "host", "path", rules)
     blocked = own.where("rule_verdict = 'block'").select("component").distinct()
     aliases = groups.join(blocked, "component", "left_semi").select(F.col("node").alias("_node"), F.lit(True).alias("_hit"))
     out = named(judged, "url", "_node").join(aliases, "_node", "left")

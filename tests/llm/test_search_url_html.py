@@ -4,7 +4,7 @@ import numpy as np
 
 from folia.llm import html_crf as H
 from folia.llm.maxscore import top_k
-from folia.llm.url_alias import Rule, judge_urls
+from folia.llm.url_alias import Rule, judge_urls, page_edges
 
 
 def test_blocks_of_broken_markup():
@@ -69,3 +69,27 @@ def test_url_verdicts(spark):
     seen = spark.createDataFrame([("ftp://u.info", "http://bad.net/y")], "src string, dst string")
     assert {r.page_id: r.verdict for r in judge_urls(df, seen).collect()}[11] == "block"
     assert judge_urls(df.limit(0)).count() == 0
+
+
+def test_rules_in_any_number_and_null_keys(spark):
+    few = [Rule("net", "/", "block"), Rule("example.net", "/en/", "allow")]
+    many = few + [Rule(f"h{i}.tld", "/", "block") for i in range(300)]
+    df = spark.createDataFrame([(None, "http://n.net/x", None), (None, "http://n.net/x", None), (3, None, None), (4, "http://a.example.net/en/", None), (4, "http://h7.tld/q", None)], "page_id long, url string, html string")
+    get = lambda rules: sorted(map(str, judge_urls(df, rules=rules).where("host <> 'h7.tld'").collect()))
+    assert get(few) == get(many) and sum("'block'" in x for x in get(many)) == 2
+
+
+def test_all_links_of_a_page_but_those_that_are_no_markup(spark):
+    page = """<!-- <link rel=canonical href=http://no.net/1> --><script>'<link rel="canonical" href="http://no.net/2">'</script><link rel=canonical href=http://a.info/1>
+    <link href='http://b.info/2' rel='canonical'><meta http-equiv=refresh content='3;url=http://c.info/3'><meta http-equiv="refresh" content="0; URL=/d">"""
+    got = {r.dst for r in page_edges(spark.createDataFrame([("http://x.info/p", page)], "url string, html string")).collect()}
+    assert got == {"http://a.info/1", "http://b.info/2", "http://c.info/3", "http://x.info/d"}
+
+
+def test_chains_equal_their_sql(spark, data, duck):
+    from folia.llm import queries as Q
+
+    got = Q.url_alias_chains(spark, data)
+    want = duck.sql(Q.CHAINS_SQL)
+    assert sorted(str(tuple(r[c] for c in want.columns)) for r in got.collect()) == sorted(map(str, want.fetchall()))
+    assert got.where("alias_block").count() > 0
