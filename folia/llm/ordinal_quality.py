@@ -123,7 +123,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(F.broadcast(picked), "doc_id")  # at most sample_rows rows of two numbers
+    found = rows.join(F.broadcast(picked), "doc_id")  # at most sample_rows rows of two numbers
+    return found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one row of each id, however often it stands
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = 3) -> CumulativeLink:
@@ -145,7 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     bins, vals = got.column("bins").combine_chunks(), got.column("vals").combine_chunks()
     ends = np.cumsum(bins.value_lengths().to_numpy())[:-1]
     rows = list(zip(np.split(bins.flatten().to_numpy().astype(np.int64), ends), np.split(vals.flatten().to_numpy().astype(np.float64), ends), strict=True))
-    return CumulativeLink.fit(rows, got.column("grade").to_numpy().astype(np.int64), levels)
+    model = CumulativeLink.fit(rows, got.column("grade").to_numpy().astype(np.int64), levels)
+    del rows, bins, vals, got
+    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
+    return model
 
 
 def classify(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tail: float = 0.6, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -178,7 +182,11 @@ def classify(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tai
 
 
 def keep_good(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tail: float = 0.6) -> DataFrame:
-    """The rows of ``docs``, unchanged, whose probability of ``min_grade`` or more is ``min_tail`` at least."""
+    """The rows of ``docs``, unchanged, whose probability of ``min_grade`` or more is ``min_tail`` at least.
+
+    Null and empty texts are judged by their shape; repeated rows alike; an empty
+    table stays empty.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
