@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folia.plans import layout_queries, ledger_queries, match_queries, row_queries, text_queries
+from folia.plans import document_queries, layout_queries, ledger_queries, match_queries, row_queries, text_queries
 
-MODULES = [text_queries, match_queries, layout_queries, row_queries, ledger_queries]
+MODULES = [text_queries, match_queries, layout_queries, row_queries, ledger_queries, document_queries]
 
 
 def queries() -> dict:

@@ -77,6 +77,59 @@ def ledger(events: DataFrame) -> DataFrame:
     )
 
 
+def page_lines(docs: DataFrame) -> DataFrame:
+    """Lines placed on pages of twelve, three regions each, with boxes from integer arithmetic."""
+    slot, d, i = F.col("line_index") % 12, F.col("doc_id"), F.col("line_index")
+    rows = lines(docs).withColumns({"page_no": F.floor(i / 12).cast("int"), "region_no": F.floor(slot / 4).cast("int")})
+    return rows.select(
+        "doc_id", "page_no", "region_no", F.format_string("p%03dr%03d", "page_no", "region_no").alias("region_id"), F.format_string("p%03dl%03d", F.col("page_no"), slot).alias("line_id"), "line_index",
+        (20 + d % 5).cast("long").alias("x"), (100 + 40 * slot).cast("long").alias("y"), (200 + F.length("text") * 7 % 300).cast("long").alias("w"), (30 + (i * 3 + d) % 4).cast("long").alias("h"), "text",
+    )
+
+
+def page_regions(page_rows: DataFrame) -> DataFrame:
+    """Regions of ``page_lines``: some in two columns, some marginal; raw is their order on the page."""
+    two = (F.col("doc_id") + F.col("region_no")) % 3 == 0
+    each = page_rows.select("doc_id", "page_no", "region_id", "region_no").distinct()
+    return each.select("doc_id", "page_no", "region_id", F.col("region_no").alias("raw"), F.when(two, 2).otherwise(1).alias("columns"), (F.col("region_no") % 2).alias("column_index"), F.when((F.col("doc_id") + F.col("region_no")) % 7 == 0, "marginalia").otherwise("unknown").alias("region_type"))
+
+
+def listed_regions(regions: DataFrame) -> DataFrame:
+    """A reading order that lists all but the first region of odd documents, from the last on."""
+    return regions.where("NOT (doc_id % 2 = 1 AND raw = 0)").select("doc_id", "page_no", "region_id", (10 - F.col("raw")).alias("place"))
+
+
+def page_spans(page_rows: DataFrame) -> DataFrame:
+    """Up to three spans of each line, cut at the thirds of its text, of several kinds."""
+    n, k = F.length("text"), F.col("span_index")
+    cut = page_rows.withColumn("span_index", F.explode(F.array(*[F.lit(i) for i in range(3)])))
+    key = (F.col("doc_id") + F.col("line_index") + k) % 8
+    tail = F.concat(F.lit(":"), (1 + F.col("doc_id") % 114).cast("string"), F.lit(":"), (1 + F.col("line_index")).cast("string"))
+    tongue = (F.col("doc_id") + F.col("line_index") + k) % 4
+    return cut.withColumns({"char_start": F.floor(n * k / 3).cast("int"), "char_end": F.floor(n * (k + 1) / 3).cast("int")}).where("char_end > char_start").select(
+        "doc_id", "page_no", "region_id", "line_id", "line_index", "span_index", "char_start", "char_end", F.when(key == 0, "quran").when(key == 1, "hadith").otherwise("ocr").alias("kind"),
+        F.when(key.isin(0, 2), F.concat(F.lit("quran"), tail)).when(key == 1, F.concat(F.lit("bukhari"), tail)).alias("ref"),
+        F.when(tongue == 0, "arabic").when(tongue == 1, "urdu").when(tongue == 2, "mixed").otherwise("unknown").alias("language"),
+    )
+
+
+def page_matches(page_rows: DataFrame) -> DataFrame:
+    """Accepted matches of every third line of ten characters or more."""
+    d, i, n = F.col("doc_id"), F.col("line_index"), F.length("text")
+    start = (d * 100 + i * 10 + F.when(d % 5 == 0, i * 9).otherwise(0)).cast("long")
+    return page_rows.where((n >= 10) & ((d + i) % 3 == 0)).select(
+        "doc_id", "page_no", "region_id", "line_id", "line_index", F.when(i % 2 == 0, "replaced").otherwise("cited").alias("action"), F.concat(F.lit("quran:"), (1 + d % 114).cast("string"), F.lit(":"), (1 + i).cast("string")).alias("ref"),
+        (0.9 + (d * 7 + i) % 11 / 100).alias("identity"), ((d * 3 + i) % 20 / 100).alias("margin"), F.concat(F.lit("corpus text "), i.cast("string")).alias("corpus_text"), (d % 3).cast("int").alias("char_start"),
+        F.when((d + i) % 5 == 0, n + 3).otherwise(n - 2).cast("int").alias("char_end"), start.alias("corpus_start"), (start + 28).alias("corpus_end"), F.lit(3).alias("candidates"),
+    )
+
+
+def page_routes(spans: DataFrame) -> DataFrame:
+    """Routes of the spans of even places."""
+    hit = F.col("kind").isin("quran", "hadith") | F.col("ref").isNotNull()
+    return spans.where("(doc_id + span_index) % 2 = 0").select("doc_id", "page_no", "line_id", "span_index", F.when(hit, "arabic").otherwise("urdu").alias("language"), ((F.col("doc_id") + F.col("line_index")) % 10 / 10).alias("posterior"), hit.alias("from_corpus"))
+
+
 def _sql(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -117,3 +170,30 @@ ledger AS (
     CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 4 = 0 THEN 'degraded' ELSE 'ok' END AS status, props AS report
   FROM events
 )"""
+
+PAGES_SQL = f"""{LINES_SQL.strip()},
+page_lines AS (
+  SELECT doc_id, line_index // 12 AS page_no, line_index % 12 // 4 AS region_no, printf('p%03dr%03d', line_index // 12, line_index % 12 // 4) AS region_id, printf('p%03dl%03d', line_index // 12, line_index % 12) AS line_id, line_index,
+    20 + doc_id % 5 AS x, CAST(100 + 40 * (line_index % 12) AS BIGINT) AS y, 200 + length(text) * 7 % 300 AS w, 30 + (line_index * 3 + doc_id) % 4 AS h, text FROM lines
+), regions AS (
+  SELECT DISTINCT doc_id, page_no, region_id, region_no AS raw, CASE WHEN (doc_id + region_no) % 3 = 0 THEN 2 ELSE 1 END AS columns, region_no % 2 AS column_index, CASE WHEN (doc_id + region_no) % 7 = 0 THEN 'marginalia' ELSE 'unknown' END AS region_type FROM page_lines
+), listed AS (SELECT doc_id, page_no, region_id, 10 - raw AS place FROM regions WHERE NOT (doc_id % 2 = 1 AND raw = 0)),
+ordered AS (SELECT regions.*, CAST(row_number() OVER (PARTITION BY doc_id, page_no ORDER BY place IS NULL, place, raw) AS INTEGER) AS seq FROM regions LEFT JOIN listed USING (doc_id, page_no, region_id)),
+spans AS (
+  SELECT * FROM (
+    SELECT doc_id, page_no, region_id, line_id, line_index, span_index, CAST(length(text) * span_index // 3 AS INTEGER) AS char_start, CAST(length(text) * (span_index + 1) // 3 AS INTEGER) AS char_end,
+      CASE (doc_id + line_index + span_index) % 8 WHEN 0 THEN 'quran' WHEN 1 THEN 'hadith' ELSE 'ocr' END AS kind,
+      CASE WHEN (doc_id + line_index + span_index) % 8 IN (0, 2) THEN 'quran' WHEN (doc_id + line_index + span_index) % 8 = 1 THEN 'bukhari' END || ':' || (1 + doc_id % 114) || ':' || (1 + line_index) AS ref,
+      CASE (doc_id + line_index + span_index) % 4 WHEN 0 THEN 'arabic' WHEN 1 THEN 'urdu' WHEN 2 THEN 'mixed' ELSE 'unknown' END AS language
+    FROM page_lines, (SELECT CAST(range AS INTEGER) AS span_index FROM range(3))
+  ) WHERE char_end > char_start
+), matches AS (
+  SELECT doc_id, page_no, region_id, line_id, line_index, CASE WHEN line_index % 2 = 0 THEN 'replaced' ELSE 'cited' END AS action, 'quran:' || (1 + doc_id % 114) || ':' || (1 + line_index) AS ref,
+    CAST(0.9 AS DOUBLE) + (doc_id * 7 + line_index) % 11 / 100 AS identity, (doc_id * 3 + line_index) % 20 / 100 AS margin, 'corpus text ' || line_index AS corpus_text, CAST(doc_id % 3 AS INTEGER) AS char_start,
+    CAST(CASE WHEN (doc_id + line_index) % 5 = 0 THEN length(text) + 3 ELSE length(text) - 2 END AS INTEGER) AS char_end,
+    doc_id * 100 + line_index * 10 + CASE WHEN doc_id % 5 = 0 THEN line_index * 9 ELSE 0 END AS corpus_start, doc_id * 100 + line_index * 10 + CASE WHEN doc_id % 5 = 0 THEN line_index * 9 ELSE 0 END + 28 AS corpus_end, 3 AS candidates
+  FROM page_lines WHERE length(text) >= 10 AND (doc_id + line_index) % 3 = 0
+), routes AS (
+  SELECT doc_id, page_no, line_id, span_index, kind IN ('quran', 'hadith') OR ref IS NOT NULL AS from_corpus, CASE WHEN kind IN ('quran', 'hadith') OR ref IS NOT NULL THEN 'arabic' ELSE 'urdu' END AS language, (doc_id + line_index) % 10 / 10 AS posterior
+  FROM spans WHERE (doc_id + span_index) % 2 = 0
+)"""
