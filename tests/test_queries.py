@@ -15,7 +15,7 @@ def test_query_equals_sql(spark, duck, data, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_has_rows(spark, data, name):
-    assert QUERIES[name](spark, data).columns
+    assert QUERIES[name](spark, data).limit(1).count() == 1
 
 
 def test_every_sql_has_a_query():
