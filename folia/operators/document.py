@@ -165,7 +165,7 @@ def body_height(lines: DataFrame) -> DataFrame:
     return each.groupBy("doc_id").agg(F.coalesce(F.median("m"), F.lit(0.0)).alias("body_h"))
 
 
-def verified_purity(spans: DataFrame, lines: DataFrame, regions: DataFrame, min_lines: int = 4) -> DataFrame:
+def verified_purity(spans: DataFrame, lines: DataFrame, regions: DataFrame, min_lines: int = 3) -> DataFrame:
     """(region, purity) of column regions with enough lines, by the language of each line's leading span."""
     from folia.operators.layout import purity
 

@@ -157,7 +157,7 @@ def body_height(spark, d):
 PURITIES_SQL = f"""{I.PAGES_SQL.strip()}, lead AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_id ORDER BY CASE WHEN kind <> 'ocr' THEN 0 WHEN coalesce(ref, '') <> '' THEN 1 ELSE 2 END, span_index) AS k FROM spans) WHERE k = 1),
 tags AS (SELECT p.doc_id, p.page_no, p.region_id, coalesce(lead.language, 'unknown') AS language FROM page_lines p JOIN regions r ON r.doc_id = p.doc_id AND r.page_no = p.page_no AND r.region_id = p.region_id AND r.columns >= 2 LEFT JOIN lead ON lead.doc_id = p.doc_id AND lead.page_no = p.page_no AND lead.line_id = p.line_id),
 tally AS (SELECT doc_id, page_no, region_id, language, count(*) AS n FROM tags GROUP BY ALL),
-purities AS (SELECT doc_id, page_no, region_id, sum(n) AS n_lines, coalesce(max(n) FILTER (language <> 'unknown') / sum(n) FILTER (language <> 'unknown'), 1.0) AS purity FROM tally GROUP BY ALL HAVING sum(n) >= 4)"""
+purities AS (SELECT doc_id, page_no, region_id, sum(n) AS n_lines, coalesce(max(n) FILTER (language <> 'unknown') / sum(n) FILTER (language <> 'unknown'), 1.0) AS purity FROM tally GROUP BY ALL HAVING sum(n) >= 3)"""
 
 
 def _purities(lines):

@@ -6,7 +6,7 @@ tables, so that a query and its SQL start from the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folia.functions import fixed as X
@@ -60,6 +60,23 @@ def rectangles(lineitem: DataFrame) -> DataFrame:
     )
 
 
+def boxes(lineitem: DataFrame) -> DataFrame:
+    """``rectangles`` with rows numbered down the page, each once."""
+    w = Window.partitionBy("page").orderBy("y", "row", "h", "w", "x")
+    return rectangles(lineitem).select("page", F.row_number().over(w).alias("row"), "x", "y", "w", "h")
+
+
+def ink(lineitem: DataFrame) -> DataFrame:
+    """Ink of ``rectangles``: two runs in each row with a gap, wide in two rows of even pages, and ink between rows of some pages."""
+    part, even = F.col("l_partkey"), (F.col("l_orderkey") % 2 == 0) & F.col("l_linenumber").isin(3, 4)
+    left, gap = 100 + F.col("l_suppkey") % 9, F.when(even, 60 + part % 7).otherwise(9 + part % 3)
+    x, y, w, h = 20 + F.col("l_suppkey") % 5, 100 + 40 * F.col("l_linenumber") + F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") >= 4), 60).otherwise(0) + part % 3, 360 - part % 50, 20 + 40 * (part % 11 == 0).cast("int") + F.col("l_suppkey") % 2
+    at = lambda a, b, c, d: F.struct(a.cast("long").alias("x"), b.cast("long").alias("y"), c.cast("long").alias("w"), d.cast("long").alias("h"))
+    runs = F.array(at(x + 2, y + 1, left, h - 2), at(x + 2 + left + gap, y + 1, w - 4 - left - gap, h - 2))
+    stray = F.when((F.col("l_orderkey") % 3 == 0) & (F.col("l_linenumber") == 4) & (F.col("l_orderkey") % 2 == 1), F.array(at(F.lit(50), y - 30, F.lit(200), F.lit(12)))).otherwise(F.array().cast("array<struct<x:bigint,y:bigint,w:bigint,h:bigint>>"))
+    return lineitem.select(F.col("l_orderkey").alias("page"), F.explode(F.concat(runs, stray)).alias("i")).select("page", "i.*")
+
+
 def script_lines(docs: DataFrame, plain_vowels: bool = False) -> DataFrame:
     """Lines in letters of the script; with ``plain_vowels``, even documents write vowels as letters."""
     even = F.col("doc_id") % 2 == 0
@@ -162,6 +179,14 @@ rects AS (
     CAST(20 + CASE WHEN l_partkey % 11 = 0 THEN 40 ELSE 0 END + l_suppkey % 2 AS BIGINT) AS h
   FROM lineitem
 )"""
+INK_SQL = f"""{RECTANGLES_SQL.strip().replace("rects AS", "drawn AS", 1)},
+rects AS (SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y, "row", h, w, x) AS INTEGER) AS "row", x, y, w, h FROM drawn),
+src AS (SELECT l_orderkey AS page, l_linenumber AS n, r.x, r.y, r.w, r.h, 100 + l_suppkey % 9 AS a, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber IN (3, 4) THEN 60 + l_partkey % 7 ELSE 9 + l_partkey % 3 END AS g
+  FROM (SELECT *, CAST(20 + l_suppkey % 5 AS BIGINT) AS x, CAST(100 + 40 * l_linenumber + CASE WHEN l_orderkey % 3 = 0 AND l_linenumber >= 4 THEN 60 ELSE 0 END + l_partkey % 3 AS BIGINT) AS y, CAST(360 - l_partkey % 50 AS BIGINT) AS w, CAST(20 + CASE WHEN l_partkey % 11 = 0 THEN 40 ELSE 0 END + l_suppkey % 2 AS BIGINT) AS h FROM lineitem) r),
+ink AS (SELECT page, x + 2 AS x, y + 1 AS y, a AS w, h - 2 AS h FROM src UNION ALL SELECT page, x + 2 + a + g, y + 1, w - 4 - a - g, h - 2 FROM src UNION ALL SELECT page, 50, y - 30, 200, 12 FROM src WHERE page % 3 = 0 AND page % 2 = 1 AND n = 4),
+inside AS (SELECT r.page, r."row", greatest(i.x, r.x) AS x0, greatest(i.y, r.y) AS y0, least(i.x + i.w, r.x + r.w) AS x1, least(i.y + i.h, r.y + r.h) AS y1 FROM rects r JOIN ink i ON i.page = r.page AND i.x < r.x + r.w AND r.x < i.x + i.w AND i.y < r.y + r.h AND r.y < i.y + i.h),
+reach AS (SELECT *, max(x1) OVER (PARTITION BY page, "row" ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto, lead(x0) OVER (PARTITION BY page, "row" ORDER BY x0, x1) AS nxt FROM inside),
+gutters AS (SELECT page, "row", arg_max(upto, (nxt - upto, -upto)) AS lo, arg_max(nxt, (nxt - upto, -upto)) AS hi FROM reach JOIN rects USING (page, "row") WHERE nxt > upto AND upto - x > 5 AND nxt < x + w - 5 GROUP BY page, "row")"""
 LEDGER_SQL = """
 ledger AS (
   SELECT event_id AS run_id, 'd' || user_id AS doc_id, event_type AS stage, ts AS started_at,

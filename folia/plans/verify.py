@@ -115,7 +115,7 @@ def extract_metrics(pages: DataFrame, min_coverage=0.95, max_empty=0.10, min_pur
     return metric_rows(wide, ["doc_id"]), pages.select("doc_id", "page_no", F.explode(found).alias("finding"))
 
 
-def order_metrics(pages: DataFrame, regions: DataFrame, min_purity: float = 0.8, min_lines: int = 4) -> tuple[DataFrame, DataFrame]:
+def order_metrics(pages: DataFrame, regions: DataFrame, min_purity: float = 0.8, min_lines: int = 3) -> tuple[DataFrame, DataFrame]:
     """Conservation, regions, blocks, mean purity of columns and score; findings of pages that lost lines and columns that mix languages.
 
     ``pages`` has doc_id, page_no, lines_in, lines_out, blocks; ``regions`` has
