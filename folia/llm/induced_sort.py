@@ -11,7 +11,7 @@ it comes with the queue and the text is not compared again.
 
 Whole buckets leave the queue at a time (in waves, where a symbol follows
 itself), so every step is an array operation.  A queue that outgrows its memory
-writes buckets to files of the task and reads each back once, in order; the text
+writes its buckets to a file of the task and reads each back once, in order; the text
 of a shard beyond the limit is mapped from a file.  A shorter string that fits
 in memory is sorted there; a longer one is induced again.
 """
@@ -24,8 +24,8 @@ import tempfile
 
 import numpy as np
 
-#: Bytes of queued tuples in memory; symbols of a text in memory; names that are sorted in memory.  An ordinary shard passes all three.
-QUEUE_BYTES, TEXT_ROWS, BASE_ROWS = 1 << 20, 1 << 20, 1 << 18
+#: Bytes of queued tuples in memory; symbols of a text in memory; names that are sorted in memory.  An ordinary shard passes the first two.
+QUEUE_BYTES, TEXT_ROWS, BASE_ROWS = 2 << 20, 1 << 20, 2 << 20
 FAR = np.iinfo(np.int32).max
 
 
@@ -55,44 +55,69 @@ class Workspace:
             self.folder = ""
 
 
+class Run:
+    """A spilled queue: the tuples of all its buckets in one file, in bucket order, each read back once."""
+
+    def __init__(self, path: str, chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]]):
+        self.path, self.names = path, np.array(sorted(chunks), dtype=np.int64)
+        sizes = [sum(len(p) for p, _ in chunks[b]) for b in self.names.tolist()]
+        self.edges, self.gone = np.concatenate([[0], np.cumsum(sizes)]), np.zeros(len(sizes), dtype=bool)
+        self.left, self.kind = int(self.edges[-1]), next(iter(chunks.values()))[0][0].dtype
+        with open(path, "wb") as out:
+            for k in (0, 1):
+                for b in self.names.tolist():
+                    for chunk in chunks[b]:
+                        out.write(np.ascontiguousarray(chunk[k]).tobytes())
+        n, size = self.left, self.kind.itemsize
+        self.pos = np.memmap(path, dtype=self.kind, mode="r", shape=(n,))
+        self.lcp = np.memmap(path, dtype=np.int32, mode="r", offset=n * size, shape=(n,))
+
+    def take(self, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
+        i = int(np.searchsorted(self.names, bucket))
+        if i == len(self.names) or self.names[i] != bucket or self.gone[i]:
+            return None
+        lo, hi = int(self.edges[i]), int(self.edges[i + 1])
+        self.gone[i] = True
+        self.left -= hi - lo
+        return np.array(self.pos[lo:hi]), np.array(self.lcp[lo:hi])
+
+    def close(self) -> None:
+        del self.pos, self.lcp
+        os.remove(self.path)
+
+
 class TupleQueue:
-    """Buckets of (position, common prefix) chunks in arrival order, the largest of them on disk."""
+    """Buckets of (position, common prefix) chunks in arrival order; what outgrows the memory goes to disk as a run."""
 
     def __init__(self, space: Workspace):
-        self.space, self.chunks, self.sizes, self.held = space, {}, {}, 0
+        self.space, self.held = space, 0
+        self.chunks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.runs: list[Run] = []
 
     def push(self, bucket: int, pos: np.ndarray, lcp: np.ndarray) -> None:
         self.chunks.setdefault(bucket, []).append((pos, lcp))
-        self.sizes[bucket] = self.sizes.get(bucket, 0) + pos.nbytes + lcp.nbytes
         self.held += pos.nbytes + lcp.nbytes
         if self.held > self.space.queue_bytes:
-            self._spill(max(self.sizes, key=self.sizes.get))
-
-    def _spill(self, bucket: int) -> None:
-        kept = []
-        self.space.spills += 1
-        for chunk in self.chunks[bucket]:
-            if isinstance(chunk, str):
-                kept.append(chunk)
-            else:
-                kept.append(self.space.path())
-                np.save(kept[-1], np.stack([chunk[0], chunk[1].astype(chunk[0].dtype)]))
-        self.held -= self.sizes.pop(bucket)
-        self.chunks[bucket] = kept
+            self.space.spills += 1
+            self.runs.append(Run(self.space.path(), self.chunks))
+            self.chunks, self.held = {}, 0
 
     def pop(self, bucket: int) -> tuple[np.ndarray, np.ndarray] | None:
-        if bucket not in self.chunks:
-            return None
         got = []
-        for chunk in self.chunks.pop(bucket):
-            if isinstance(chunk, str):
-                pos, lcp = np.load(f"{chunk}.npy")
-                os.remove(f"{chunk}.npy")
-                got.append((pos, lcp.astype(np.int32)))
-            else:
-                got.append(chunk)
-        self.held -= self.sizes.pop(bucket, 0)
-        return (got[0][0], got[0][1]) if len(got) == 1 else (np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
+        for run in self.runs:
+            if (part := run.take(bucket)) is not None:
+                got.append(part)
+        if got and any(not r.left for r in self.runs):
+            for r in self.runs:
+                if not r.left:
+                    r.close()
+            self.runs = [r for r in self.runs if r.left]
+        for chunk in self.chunks.pop(bucket, ()):
+            got.append(chunk)
+            self.held -= chunk[0].nbytes + chunk[1].nbytes
+        if not got:
+            return None
+        return got[0] if len(got) == 1 else (np.concatenate([x for x, _ in got]), np.concatenate([y for _, y in got]))
 
 
 def range_min(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
