@@ -19,7 +19,7 @@ WORD_BINS, TAIL_BINS, SHAPE_BINS = 1 << 17, 1 << 10, 32
 BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
 #: Labelled rows that a fit reads at most (smallest hashes of the id); a documented parameter.
 SAMPLE_ROWS = 6000
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _TAIL = re.compile(r"[^\w]*\Z")
 
 
@@ -170,8 +170,8 @@ def classify(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tai
         f, m = Features(), CumulativeLink(*shared.value)
         for b in batches:
             expected, tail = [], []
-            for text in b.column("_text").to_pylist():
-                bins, values = f(text)
+            for text in b.column("_text"):
+                bins, values = f(text.as_py())
                 tails = m.tails(float(values @ m.weights[bins]))
                 expected.append(float(tails.sum()))
                 tail.append(float(tails[min_grade - 1]))
@@ -196,8 +196,8 @@ def keep_good(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_ta
         f, m = Features(), CumulativeLink(*shared.value)
         for b in batches:
             good = []
-            for text in b.column(at).to_pylist():
-                bins, values = f(text)
+            for text in b.column(at):
+                bins, values = f(text.as_py())
                 good.append(bool(m.tails(float(values @ m.weights[bins]))[min_grade - 1] >= min_tail))
             kept = b.filter(pa.array(good, pa.bool_()))
             yield pa.RecordBatch.from_arrays(kept.columns, schema=out)

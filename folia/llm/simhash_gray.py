@@ -33,8 +33,10 @@ from folia.llm.components import connected_components
 
 WORDS, DISTANCE, SEED = 3, 2, 42
 LEAF, FAN = 8, 8
-#: Fingerprints of a range; below, ranges are made smaller to use all partitions, but not under ``LEAST_ROWS``.
-RANGE_ROWS, LEAST_ROWS = 1 << 20, 4096
+#: Fingerprints of a range; ranges at least, whose number is the same for any smaller input, so that each fingerprint visits as many; rows of one.
+RANGE_ROWS, RANGES, LEAST_ROWS = 1 << 20, 64, 256
+#: Nodes that a search holds at a time.
+HELD = 1 << 20
 #: Shingles whose bits are counted together.
 COUNT_ROWS = 65_536
 
@@ -97,6 +99,7 @@ class GrayTree:
     def search(self, queries: np.ndarray, distance: int = DISTANCE, block: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(query, item) numbers of the items whose shared bits differ from the query's in ``distance`` places at most."""
         count = len(self.levels[0][1])
+        block = max(8, min(block, HELD // max(1, len(self.levels[-1][1]))))
         for begin in range(0, len(queries) if count else 0, block):
             q = np.arange(begin, min(len(queries), begin + block))
             who, node = np.repeat(q, count), np.tile(np.arange(count), len(q))
@@ -211,7 +214,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, range_rows: int = RANGE
     """``(src, dst)`` over distinct ``fp``: edges whose components are those of all links within ``distance`` bits."""
     spark = distinct.sparkSession
     n = distinct.count()
-    spread = min(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / least_rows))
+    spread = min(RANGES, math.ceil(n / least_rows))
     filed = _ranged(distinct, max(1, math.ceil(n / range_rows), spread))
     # three numbers for each range, of which there are n / range_rows or a partition's number
     tops = sorted((r.part, r.a, r.o, r.n) for r in filed.groupBy("part").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"), F.count(F.lit(1)).alias("n")).collect())
