@@ -333,3 +333,50 @@ def ingest_metrics(spark, d):
 @query(f"""WITH {INGEST_SQL} SELECT doc_id, 'source resolution is low (min ' || lo || ' DPI)' AS finding FROM m WHERE lo < 150 UNION ALL SELECT doc_id, blank || ' page(s) appear blank' FROM m WHERE blank > 0""")
 def ingest_findings(spark, d):
     return _ingest(spark, d)[1]
+
+
+# rendering
+
+ESCAPED = "replace(replace(replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;')"
+PERCENT = "printf('%.3f', round(100.0::DOUBLE * {0} / {1}, 3))"
+
+
+def _sized(lines):
+    return lines.select(*KEYS).distinct().withColumns({"width": F.lit(600), "height": F.lit(800)})
+
+
+@query(f"""WITH {I.PAGES_SQL} SELECT doc_id, page_no, line_id, '<div class="box" style="left:' || {PERCENT.format('x', 600)} || '%;top:' || {PERCENT.format('y', 800)} || '%;width:' || {PERCENT.format('w', 600)} || '%;height:' || {PERCENT.format('h', 800)} || '%;font-size:' || printf('%.1f', round(h * 0.72::DOUBLE, 1)) || 'px">' || {ESCAPED.format('text')} || '</div>' AS html FROM page_lines""")
+def line_boxes(spark, d):
+    from folia.sources import render as H
+
+    lines = _lines(spark, d)
+    return H.line_boxes(lines, _sized(lines)).select(*D.LINE, "html")
+
+
+SPAN_HTML_SQL = f"""CASE WHEN kind <> 'ocr' THEN '<span class="' || kind || '">' || t || '</span>' WHEN ref IS NOT NULL THEN '<span class="cited ' || CASE WHEN starts_with(ref, 'quran:') THEN 'quran' ELSE 'hadith' END || '">' || t || '</span>' ELSE t END"""
+LINE_HTML_SQL = f"""{I.PAGES_SQL.strip()}, cut AS (SELECT s.*, {ESCAPED.format('substr(p.text, char_start + 1, char_end - char_start)')} AS t FROM spans s JOIN page_lines p USING (doc_id, page_no, line_id)),
+line_html AS (SELECT doc_id, page_no, line_id, string_agg({SPAN_HTML_SQL}, '' ORDER BY char_start, span_index) AS line_html FROM cut GROUP BY ALL)"""
+
+
+@query(f"WITH {LINE_HTML_SQL} SELECT * FROM line_html")
+def span_markup(spark, d):
+    from folia.sources import render as H
+
+    lines = _lines(spark, d)
+    return H.line_html(I.page_spans(lines), lines)
+
+
+@query(f"""WITH {LINE_HTML_SQL}, covered AS (SELECT doc_id, page_no, line_id, sum(CASE WHEN kind IN ('quran', 'hadith') THEN char_end - char_start ELSE 0 END) AS n, min(ref) AS ref FROM spans GROUP BY ALL),
+l AS (SELECT p.doc_id, p.page_no, p.region_id, p.line_index, h.line_html, c.ref, c.n / length(p.text) >= 0.6 AS verse, p.line_index // 2 AS paragraph FROM page_lines p JOIN line_html h USING (doc_id, page_no, line_id) JOIN covered c USING (doc_id, page_no, line_id) WHERE p.text <> ''),
+b AS (SELECT doc_id, page_no, region_id, verse, CASE WHEN verse THEN printf('v%08d', line_index) ELSE printf('p%08d', CAST(paragraph AS INTEGER)) END AS blk, min(line_index) AS f,
+  string_agg(line_html || CASE WHEN verse AND ref IS NOT NULL THEN ' <span class="ref">' || CASE WHEN starts_with(ref, 'quran:') THEN substr(ref, 7) ELSE replace(ref, 'bukhari:', 'bukhari ') END || '</span>' ELSE '' END, ' ' ORDER BY line_index) AS t FROM l GROUP BY ALL),
+r AS (SELECT doc_id, page_no, region_id, string_agg(CASE WHEN verse THEN '<p class="verse">' ELSE '<p>' END || t || '</p>', chr(10) ORDER BY f, blk) AS html FROM b GROUP BY ALL)
+SELECT doc_id, page_no, region_id, seq, CASE WHEN region_type = 'marginalia' THEN '<aside class="note">' || html || '</aside>' ELSE '<div>' || html || '</div>' END AS html FROM r JOIN ordered USING (doc_id, page_no, region_id)""")
+def reader_regions(spark, d):
+    from folia.sources import render as H
+
+    lines = _lines(spark, d)
+    spans = I.page_spans(lines)
+    cited = spans.groupBy(*D.LINE).agg(F.min("ref").alias("ref"))
+    rows = lines.join(H.line_html(spans, lines), D.LINE).join(D.replaced_fraction(spans, lines), D.LINE).join(cited, D.LINE).withColumn("paragraph", F.floor(F.col("line_index") / 2).cast("int"))
+    return H.reader_regions(rows, _regions(lines))

@@ -86,7 +86,7 @@ def script_lines(docs: DataFrame, plain_vowels: bool = False) -> DataFrame:
 def ledger(events: DataFrame) -> DataFrame:
     """Events as runs of a stage over a document."""
     return events.select(
-        F.col("event_id").alias("run_id"), F.concat(F.lit("d"), F.col("user_id")).alias("doc_id"), F.col("event_type").alias("stage"), F.col("ts").alias("started_at"),
+        F.col("event_id").alias("run_id"), F.concat(F.lit("d"), F.col("user_id")).alias("doc_id"), F.col("event_type").alias("stage"), F.concat(F.lit("v"), (F.col("event_id") % 2).cast("string")).alias("stage_version"), F.col("ts").alias("started_at"),
         F.sha2(F.concat_ws("|", F.col("event_type"), (F.col("event_id") % 3).cast("string")), 256).alias("params_hash"),
         F.sha2(F.concat(F.lit("in"), (F.col("user_id") % 50).cast("string")), 256).alias("input_hash"),
         F.sha2(F.concat(F.lit("out"), F.col("event_id").cast("string")), 256).alias("output_hash"),
@@ -189,7 +189,7 @@ reach AS (SELECT *, max(x1) OVER (PARTITION BY page, "row" ORDER BY x0, x1 ROWS
 gutters AS (SELECT page, "row", arg_max(upto, (nxt - upto, -upto)) AS lo, arg_max(nxt, (nxt - upto, -upto)) AS hi FROM reach JOIN rects USING (page, "row") WHERE nxt > upto AND upto - x > 5 AND nxt < x + w - 5 GROUP BY page, "row")"""
 LEDGER_SQL = """
 ledger AS (
-  SELECT event_id AS run_id, 'd' || user_id AS doc_id, event_type AS stage, ts AS started_at,
+  SELECT event_id AS run_id, 'd' || user_id AS doc_id, event_type AS stage, 'v' || event_id % 2 AS stage_version, ts AS started_at,
     sha256(event_type || '|' || CAST(event_id % 3 AS VARCHAR)) AS params_hash, sha256('in' || CAST(user_id % 50 AS VARCHAR)) AS input_hash,
     sha256('out' || CAST(event_id AS VARCHAR)) AS output_hash,
     CASE WHEN event_id % 10 = 0 THEN 'failed' WHEN event_id % 4 = 0 THEN 'degraded' ELSE 'ok' END AS status, props AS report

@@ -37,12 +37,12 @@ def ledger_upsert(spark, d):
     return G.upsert_documents(old, new).select("doc_id", "source_path", "state_sha256", "updated_at")
 
 
-@query(f"""WITH {I.LEDGER_SQL}, p AS (SELECT DISTINCT stage, params_hash, input_hash FROM ledger),
-b AS (SELECT stage, params_hash, input_hash, max(run_id) AS run_id, arg_max(output_hash, run_id) AS output_hash FROM ledger WHERE status = 'ok' GROUP BY ALL)
-SELECT p.*, b.run_id, b.output_hash FROM p LEFT JOIN b USING (stage, params_hash, input_hash)""")
+@query(f"""WITH {I.LEDGER_SQL}, p AS (SELECT DISTINCT stage, stage_version, params_hash, input_hash FROM ledger),
+b AS (SELECT stage, stage_version, params_hash, input_hash, max(run_id) AS run_id, arg_max(output_hash, run_id) AS output_hash FROM ledger WHERE status = 'ok' GROUP BY ALL)
+SELECT p.*, b.run_id, b.output_hash FROM p LEFT JOIN b USING (stage, stage_version, params_hash, input_hash)""")
 def ledger_cache_probe(spark, d):
     g = _ledger(spark, d)
-    return G.cached_run(g, g.select("stage", "params_hash", "input_hash").distinct())
+    return G.cached_run(g, g.select("stage", "stage_version", "params_hash", "input_hash").distinct())
 
 
 @query(f"WITH {I.LEDGER_SQL} SELECT doc_id, count(*) AS runs, count(*) FILTER (status = 'ok') AS ok, min(run_id) AS first_run, max(run_id) AS last_run, count(DISTINCT stage) AS stages FROM ledger GROUP BY doc_id")
@@ -150,3 +150,49 @@ SELECT doc_id, detected, detected - returned AS empty_lines, round(least(returne
 def extract_verdict(spark, d):
     got = V.extract_verdict(I.script_lines(I.table(spark, d, "documents"), True), ["doc_id"])
     return got.select("doc_id", "detected", "empty_lines", F.round("coverage", 6).alias("coverage"), F.round("purity", 6).alias("purity"), "passed")
+
+
+VERSIONS_SQL = f"""{I.LEDGER_SQL.strip()}, docs AS (SELECT doc_id, arg_min(stage, (started_at, output_hash)) AS source_path, arg_max(output_hash, (started_at, output_hash)) AS state_sha256, max(started_at) AS updated_at FROM ledger GROUP BY doc_id)"""
+
+
+def _versions(spark, d):
+    v = _ledger(spark, d).select("doc_id", F.col("stage").alias("source_path"), F.col("input_hash").alias("source_sha256"), F.col("output_hash").alias("state_sha256"), F.col("started_at").alias("updated_at"))
+    return G.upsert_documents(v, v.limit(0))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT doc_id, source_path, updated_at FROM docs")
+def document_listing(spark, d):
+    return G.listing(_versions(spark, d))
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT 'd' || c_custkey AS doc_id, state_sha256 FROM customer LEFT JOIN docs ON docs.doc_id = 'd' || c_custkey")
+def document_states(spark, d):
+    wanted = I.table(spark, d, "customer").select(F.concat(F.lit("d"), F.col("c_custkey").cast("string")).alias("doc_id"))
+    return G.state_of(_versions(spark, d), wanted)
+
+
+@query(f"WITH {I.LEDGER_SQL}, o AS (SELECT max(run_id) AS last FROM ledger WHERE run_id % 2 = 0) SELECT doc_id, stage, started_at, last + row_number() OVER (ORDER BY started_at, doc_id, stage) AS run_id FROM ledger, o WHERE ledger.run_id % 2 = 1")
+def ledger_append(spark, d):
+    g = _ledger(spark, d)
+    return G.numbered(g.where("run_id % 2 = 0"), g.where("run_id % 2 = 1").drop("run_id")).select("doc_id", "stage", "started_at", "run_id")
+
+
+@query(f"WITH {I.LEDGER_SQL} SELECT run_id, stage, stage_version, status FROM ledger WHERE doc_id = 'd1'")
+def document_runs(spark, d):
+    return G.runs_for(_ledger(spark, d), "d1").select("run_id", "stage", "stage_version", "status")
+
+
+@query("""WITH c AS (SELECT 'k' || user_id % 40 AS key, event_type || event_id AS body, event_id AS stored_at FROM events WHERE event_id % 3 = 0), w AS (SELECT DISTINCT 'k' || range AS key FROM range(60))
+SELECT w.key, b.body FROM w LEFT JOIN (SELECT key, arg_max(body, stored_at) AS body FROM c GROUP BY key) b USING (key)""")
+def cached_replies(spark, d):
+    e = I.table(spark, d, "events").where("event_id % 3 = 0")
+    cache = e.select(F.concat(F.lit("k"), (F.col("user_id") % 40).cast("string")).alias("key"), F.concat("event_type", F.col("event_id").cast("string")).alias("body"), F.col("event_id").alias("stored_at"))
+    return G.replies(cache, spark.range(60).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key")))
+
+
+@query("""SELECT 'd' || user_id AS doc_id, CAST(sum(event_id % 7) AS BIGINT) AS input_tokens, CAST(sum(event_id % 5) AS BIGINT) AS output_tokens, count(*) AS provider_calls, round(sum(event_id % 3 / 2), 6) AS wall_seconds FROM events GROUP BY user_id""")
+def document_costs(spark, d):
+    k = F.col("event_id")
+    report = F.to_json(F.struct((k % 7).alias("input_tokens"), (k % 5).alias("output_tokens"), F.lit(1).alias("provider_calls"), (k % 3 / 2).alias("wall_seconds")))
+    got = G.costs(I.table(spark, d, "events").select(F.concat(F.lit("d"), F.col("user_id").cast("string")).alias("doc_id"), report.alias("report")))
+    return got.withColumn("wall_seconds", F.round("wall_seconds", 6))

@@ -40,6 +40,7 @@ class Stage:
     version: str
     run: Callable[[DataFrame, object], DataFrame]
     verify: Callable[[DataFrame, DataFrame, object], Verdict]
+    apply: Callable[[DataFrame, DataFrame], DataFrame] = lambda doc, out: out
 
     def execute(self, doc: DataFrame, params: object) -> tuple[DataFrame, dict]:
         """The output and its ledger row; the verdict is on the document before the output is applied."""
