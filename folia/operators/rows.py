@@ -36,6 +36,34 @@ def text_rows(smoothed: DataFrame, scale: float = 0.3, min_gap: int = 3, min_hei
     return tall.select("page", (F.row_number().over(Window.partitionBy("page").orderBy("y0")) - 1).alias("row"), "y0", "y1")
 
 
+def smoothed_intervals(rects: DataFrame) -> DataFrame:
+    """(page, y, to, value): the smoothed profile of rectangles as stretches of like ink.
+
+    A rectangle begins and ends at three rows each, for the rows above and below
+    that share its ink; a running sum over these events is the profile.  Rows of
+    one page stay in one partition, so there is one exchange, and no rectangle
+    becomes pixel rows.
+    """
+    y, w, end = F.col("y"), F.col("w"), F.col("y") + F.col("h")
+    events = F.array(*[F.struct((at + k).alias("y"), v.alias("d")) for at, v in ((y, w), (end, -w)) for k in (-1, 0, 1)])
+    each = rects.select("page", "y", "w", "h").repartition("page").select("page", F.explode(events).alias("e"))
+    steps = each.groupBy("page", F.col("e.y").alias("y")).agg(F.sum("e.d").alias("d"))
+    by = Window.partitionBy("page").orderBy("y")
+    level = steps.select("page", "y", F.sum("d").over(by).alias("_s"), F.lead("y").over(by).alias("to"))
+    return level.where("to > 0 AND _s > 0").select("page", F.greatest("y", F.lit(0)).alias("y"), "to", (F.col("_s") / 3).alias("value"))
+
+
+def text_rows_of(intervals: DataFrame, scale: float = 0.3, min_gap: int = 3, min_height: int = 5) -> DataFrame:
+    """As ``text_rows``, over stretches (page, y, to, value) of a smoothed profile."""
+    size, page = F.col("to") - F.col("y"), Window.partitionBy("page")
+    level = F.greatest(F.lit(1.0), F.sum(F.col("value") * size).over(page) / F.sum(size).over(page) * scale)
+    dark = intervals.withColumn("_t", level).where("value >= _t")
+    w = page.orderBy("y")
+    marked = dark.withColumn("_new", F.when(F.col("y") - F.lag("to").over(w) < min_gap, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(w))
+    bands = marked.groupBy("page", "_island").agg(F.min("y").alias("y0"), (F.max("to") - 1).alias("y1")).where(F.col("y1") - F.col("y0") + 1 >= min_height)
+    return bands.select("page", (F.row_number().over(page.orderBy("y0")) - 1).alias("row"), "y0", "y1")
+
+
 def assess_rows(rects: DataFrame, tall: float = 1.6, gap: float = 1.5, min_rows: int = 4) -> DataFrame:
     """Per page of enough rows: medians, pitch variation, and estimated merged rows; rounding is half to even."""
     w = Window.partitionBy("page").orderBy("y", "row", "h", "w", "x")

@@ -47,6 +47,12 @@ def smoothed_profile(spark, d):
 
 @query(f"WITH {ROWS_SQL} SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0) - 1 AS INTEGER) AS \"row\", y0, y1 FROM found WHERE y1 - y0 + 1 >= 5")
 def text_rows(spark, d):
+    return R.text_rows_of(R.smoothed_intervals(_rects(spark, d)))
+
+
+@query(f"WITH {ROWS_SQL} SELECT page, CAST(row_number() OVER (PARTITION BY page ORDER BY y0) - 1 AS INTEGER) AS \"row\", y0, y1 FROM found WHERE y1 - y0 + 1 >= 5")
+def text_rows_of_profile(spark, d):
+    """The same from a profile of pixel rows, the form that images have."""
     return R.text_rows(R.smooth(R.rectangle_profile(_rects(spark, d))))
 
 

@@ -156,7 +156,17 @@ def agreement_pairs(spark, d):
     return _pairs(spark, d).select("ref_id", "hyp_id", F.round(S.similarity(F.col("hyp"), F.col("ref")), 6).alias("agreement"))
 
 
-@query()
+#: The table of edits row by row; a row's running minimum takes the place of its left neighbours.
+_WER_SQL = f"""{_PAIRS_SQL}, t AS (SELECT ref_id, hyp_id, regexp_extract_all(hyp, '[^ ]+') AS a, regexp_extract_all(ref, '[^ ]+') AS b FROM p),
+dp(ref_id, hyp_id, i, r) AS (
+  SELECT ref_id, hyp_id, 0::BIGINT, range(0, len(b) + 1) FROM t
+  UNION ALL
+  SELECT ref_id, hyp_id, i + 1, list_transform(range(1, len(b) + 2), lambda j: list_min(list_transform(range(1, j + 1), lambda k: c[k] - k)) + j)
+  FROM (SELECT ref_id, hyp_id, i, b, list_transform(range(1, len(b) + 2), lambda k: CASE WHEN k = 1 THEN i + 1 ELSE least(r[k] + 1, r[k - 1] + CASE WHEN a[i + 1] = b[k - 1] THEN 0 ELSE 1 END) END) AS c FROM dp JOIN t USING (ref_id, hyp_id) WHERE i < len(a))
+)"""
+
+
+@query(f"WITH RECURSIVE {_WER_SQL} SELECT ref_id, hyp_id, CAST(CASE WHEN len(b) > 0 THEN r[len(b) + 1] ELSE len(a) END AS INTEGER) AS edits, CAST(len(b) AS INTEGER) AS units, round(CASE WHEN len(b) > 0 THEN r[len(b) + 1] / len(b) WHEN len(a) > 0 THEN 1.0 ELSE 0.0 END, 6) AS rate FROM dp JOIN t USING (ref_id, hyp_id) WHERE i = len(a)")
 def wer_pairs(spark, d):
     e = _pairs(spark, d).withColumn("e", U.word_error_rate(F.col("hyp"), F.col("ref")))
     return e.select("ref_id", "hyp_id", "e.edits", "e.units", F.round("e.rate", 6).alias("rate"))
