@@ -78,6 +78,37 @@ def ornament_density(c: Column) -> Column:
     return _ratio(_count_of(bare, X.BRACKETS + X.QURANIC_MARKS), F.length(bare))
 
 
+#: Classes of letters as private code points; one that a text holds itself counts as nothing.
+_URDU, _ARABIC, _VOCAL, _ORNATE, _OTHER = (chr(0xE000 + i) for i in range(5))
+_CLASSED = [(X.URDU_ONLY, _URDU), (X.ARABIC_ONLY, _ARABIC), (X.TASHKEEL, _VOCAL), (X.BRACKETS + X.QURANIC_MARKS, _ORNATE), (_URDU + _ARABIC + _VOCAL + _ORNATE, _OTHER)]
+_CLASS_FROM, _CLASS_TO = "".join(a for a, _ in _CLASSED), "".join(b * len(a) for a, b in _CLASSED)
+
+
+def script_profile(c: Column) -> Column:
+    """Struct of purity, affinity, density and ornament of a composed text, from one pass that turns letters into their classes."""
+    bare = F.regexp_replace(c, r"(?U)\s", "")
+    marked = F.translate(bare, _CLASS_FROM, _CLASS_TO)
+    size = F.length(marked)
+    n = lambda k: size - F.length(F.replace(marked, F.lit(k), F.lit("")))
+    urdu, arabic, vocal, ornate = (n(k) for k in (_URDU, _ARABIC, _VOCAL, _ORNATE))
+    return F.struct(
+        _ratio(F.length(F.regexp_replace(bare, f"[^{X.SCRIPT_CLASS}]", "")), size).alias("purity"), _ratio(urdu - arabic, urdu + arabic).alias("affinity"),
+        _ratio(vocal, size - vocal).alias("density"), _ratio(ornate, size).alias("ornament"), (size == 0).alias("blank"),
+    )
+
+
+def profile_score(p: Column, w_urdu=1.0, w_tashkeel=1.0, w_ornament=1.0, tashkeel_arabic=0.25) -> Column:
+    """``route_score`` of a ``script_profile``."""
+    ornate = F.when(p["ornament"] > 0, w_ornament).otherwise(0.0)
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), w_urdu * p["affinity"] - w_tashkeel * F.least(F.lit(1.0), p["density"] / tashkeel_arabic) - ornate))
+
+
+def profile_language(p: Column) -> Column:
+    """``guess_language`` of a ``script_profile``."""
+    a = p["affinity"]
+    return F.when((p["density"] > 0.25) & (a <= 0), "arabic").when(a > 0.2, "urdu").when(a < -0.2, "arabic").otherwise("mixed")
+
+
 def shown(c: Column, plain_vowels: Column | None = None) -> Column:
     """Latin text in letters of the script; where ``plain_vowels`` is true, vowels are letters instead of marks."""
     out = F.translate(F.lower(c), X.LATIN, X.SHOWN)

@@ -38,7 +38,7 @@ def _canonical_sql(text: str, drop: str, compose: bool) -> str:
     return f"regexp_replace({n(step)}, '^\\s+|\\s+$', '', 'g')"
 
 
-LOOSE_SQL = _canonical_sql("text", X.TATWEEL + X.QURANIC_MARKS + X.TASHKEEL + X.ZWJ, False)
+LOOSE_SQL = _canonical_sql("text", X.TATWEEL + X.QURANIC_MARKS + X.TASHKEEL + X.ZWJ, True)
 STRICT_SQL = _canonical_sql("text", X.TATWEEL + X.QURANIC_MARKS + X.ZWJ, True)
 
 
@@ -60,7 +60,7 @@ def strip_marks(spark, d):
 
 @query(f"SELECT doc_id, {LOOSE_SQL} AS canonical FROM (SELECT doc_id, {I.SHOWN_SQL.format('text')} AS text FROM documents)")
 def canonical_loose(spark, d):
-    return I.table(spark, d, "documents").select("doc_id", S.canonical(S.shown(F.col("text")), "loose", compose=False).alias("canonical"))
+    return I.table(spark, d, "documents").select("doc_id", S.canonical(S.shown(F.col("text")), "loose").alias("canonical"))
 
 
 @query(f"SELECT doc_id, {STRICT_SQL} AS canonical FROM (SELECT doc_id, {I.SHOWN_SQL.format('text')} AS text FROM documents)")
@@ -87,11 +87,8 @@ ORNAMENT_SQL = _share_sql(_count_sql("text", X.BRACKETS + X.QURANIC_MARKS), f"le
 
 @query(f"WITH {I.PLAIN_LINES_SQL} SELECT doc_id, line_index, round({PURITY_SQL}, 6) AS purity, round({AFFINITY_SQL}, 6) AS affinity, round({DENSITY_SQL}, 6) AS density, round({ORNAMENT_SQL}, 6) AS ornament FROM script_lines")
 def script_measures(spark, d):
-    t = F.col("text")
-    return _shown(spark, d, True).select(
-        "doc_id", "line_index", F.round(S.script_purity(t), 6).alias("purity"), F.round(S.urdu_affinity(t), 6).alias("affinity"),
-        F.round(S.tashkeel_density(t), 6).alias("density"), F.round(S.ornament_density(t), 6).alias("ornament"),
-    )
+    got = _shown(spark, d, True).select("doc_id", "line_index", S.script_profile(F.col("text")).alias("p"))
+    return got.select("doc_id", "line_index", *[F.round(f"p.{n}", 6).alias(n) for n in ("purity", "affinity", "density", "ornament")])
 
 
 SCORE_SQL = f"greatest(-1.0, least(1.0, ({AFFINITY_SQL}) - least(1.0, ({DENSITY_SQL}) / 0.25) - CASE WHEN ({ORNAMENT_SQL}) > 0 THEN 1.0 ELSE 0.0 END))"
@@ -101,8 +98,8 @@ SCORE_SQL = f"greatest(-1.0, least(1.0, ({AFFINITY_SQL}) - least(1.0, ({DENSITY_
 SELECT doc_id, line_index, CASE WHEN blank THEN 'unknown' WHEN score >= 0.2 THEN 'urdu' WHEN score <= -0.2 THEN 'arabic' ELSE 'mixed' END AS language,
   round(CASE WHEN blank THEN 0.0 ELSE abs(score) END, 6) AS posterior FROM s""")
 def route_language(spark, d):
-    blank = S.trimmed(F.col("text")) == ""
-    scored = _shown(spark, d, True).select("doc_id", "line_index", blank.alias("blank"), S.route_score(F.col("text")).alias("score"))
+    profile = _shown(spark, d, True).select("doc_id", "line_index", S.script_profile(F.col("text")).alias("p"))
+    scored = profile.select("doc_id", "line_index", "p.blank", S.profile_score(F.col("p")).alias("score"))
     return scored.select(
         "doc_id", "line_index", S.route_language(F.col("score"), F.col("blank")).alias("language"),
         F.round(F.when(F.col("blank"), 0.0).otherwise(F.abs("score")), 6).alias("posterior"),
@@ -112,7 +109,17 @@ def route_language(spark, d):
 @query(f"""WITH {I.PLAIN_LINES_SQL}, m AS (SELECT doc_id, line_index, {DENSITY_SQL} AS den, {AFFINITY_SQL} AS aff FROM script_lines)
 SELECT doc_id, line_index, CASE WHEN den > 0.25 AND aff <= 0 THEN 'arabic' WHEN aff > 0.2 THEN 'urdu' WHEN aff < -0.2 THEN 'arabic' ELSE 'mixed' END AS language FROM m""")
 def guess_language(spark, d):
-    return _shown(spark, d, True).select("doc_id", "line_index", S.guess_language(F.col("text")).alias("language"))
+    got = _shown(spark, d, True).select("doc_id", "line_index", S.script_profile(F.col("text")).alias("p"))
+    return got.select("doc_id", "line_index", S.profile_language(F.col("p")).alias("language"))
+
+
+@query(f"WITH {I.PLAIN_LINES_SQL} SELECT doc_id, line_index, round({DENSITY_SQL}, 6) AS density FROM script_lines WHERE {DENSITY_SQL} > 0.25")
+def sacred_lines(spark, d):
+    """Lines with so many vowel marks that they look like verified text, by the single measures."""
+    from folia.operators.document import looks_sacred
+
+    t = F.col("text")
+    return _shown(spark, d, True).where(looks_sacred(t)).select("doc_id", "line_index", F.round(S.tashkeel_density(t), 6).alias("density"))
 
 
 @query(f"""WITH {I.LINES_SQL}, s AS (SELECT doc_id, line_index, regexp_replace(regexp_replace(text, '{SPACES}', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS s FROM lines),
