@@ -94,6 +94,24 @@ def test_image_rows(spark):
     assert got.count() == 5
 
 
+def test_rows_at_the_threshold_itself_are_text_in_any_order(spark):
+    import random
+
+    # the mean ink is 1500 / 3, so the faint band of 450 / 3 stands at the threshold itself
+    ink = {**dict.fromkeys(range(20, 26), 450), **dict.fromkeys(range(40, 60), 500), **dict.fromkeys(range(60, 85), 2552)}
+    assert sum(ink.values()) * 3 == len(ink) * 450 * 10
+    rows = []
+    for page in range(40):
+        each = [(page, y, v / 3) for y, v in ink.items()]
+        random.Random(page).shuffle(each)
+        rows += each
+    smoothed = spark.createDataFrame(rows, "page long, y long, value double").coalesce(1)
+    found = [(0, 20, 25), (1, 40, 84)]
+    assert sorted(map(tuple, W.text_rows(smoothed).collect())) == [(p, *b) for p in range(40) for b in found]
+    stretches = smoothed.select("page", "y", (F.col("y") + 1).alias("to"), "value")
+    assert sorted(map(tuple, W.text_rows_of(stretches).collect())) == [(p, *b) for p in range(40) for b in found]
+
+
 def test_tiles_cover_a_line(spark):
     spans = spark.createDataFrame([(1, 2, 5, "a", 10), (1, 4, 8, "b", 10)], "line long, start int, end int, kind string, n int")
     got = sorted((r.start, r.end, r.kind) for r in R.tiles(spans, ["line"]).collect())
