@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
 import tempfile
 import uuid
 
@@ -39,6 +41,19 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def give_back() -> None:
+    """Called by a stage's task: the worker it runs in drops what the encoder's tasks before it kept, and returns free memory."""
+    encoder = sys.modules.get("folia.llm.duck_bpe")
+    if encoder is None or not encoder.vocabulary.cache_info().currsize:
+        return
+    encoder.vocabulary.cache_clear()
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table of ``cut_table`` that nothing reads any more, and the shuffle files that nothing refers to."""
     spark = df.sparkSession

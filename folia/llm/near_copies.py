@@ -12,9 +12,10 @@ parity bitmap of two to four bits a member, whose differing bits are never more
 than the differing members, and verified by their texts if it lets them pass.
 
 Texts are moved for one candidate of each node first; what that links needs no
-more.  A file of more than ``FILE_ROWS`` nodes is first compared with a few of
-its members only.  What that links is left alone; all pairs between different
-components follow.
+more.  A file of more than ``FILE_ROWS`` nodes is first compared with its
+smallest node only, which is the same one in the many files that a group of
+copies shares, so a file makes fewer than two rows a node however large it is.
+What that links is left alone; all pairs between different components follow.
 """
 
 from __future__ import annotations
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folia.llm.common import cut, cut_table, drop_table
+from folia.llm.common import cut, cut_table, drop_table, give_back
 from folia.llm.components import connected_components
 from folia.llm.simhash_gray import ROW_NAME, links, only, row_name
 
-#: Similarity PART / WHOLE; nodes of a file that are all compared; members that larger files are compared with first.
+#: Similarity PART / WHOLE; nodes of a file that are all compared (beyond 4 their pairs are more than 2 n - 1, the rows of a larger file).
 WORDS, PART, WHOLE = 5, 4, 5
-FILE_ROWS, PIVOTS = 16, 4
+FILE_ROWS = 4
 #: Texts of the sample, and how many of them a common shingle is in.
 SAMPLE_DOCS, COMMON = 10_000, 3
 #: Pairs that are put out together, and pairs whose sets are compared together.
@@ -114,6 +115,7 @@ def _marked(docs: DataFrame, common: np.ndarray) -> DataFrame:
     names = ["doc_id", *ROW_NAME, "text", "node", "n", "bits", "fp", "keys"]
 
     def run(batches):
+        give_back()
         for b in batches:
             for lo in range(0, b.num_rows, SET_ROWS):
                 part = b.slice(lo, SET_ROWS)
@@ -173,7 +175,7 @@ def _near_sizes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _first_pairs(filed: DataFrame, file_rows: int) -> DataFrame:
-    """(key, a, b): all pairs of small files and pairs with a few members of large ones, without key; (key, node, n) of large ones."""
+    """(key, a, b): all pairs of small files and the smallest node's pairs of large ones, without key; (key, node, n) of large ones."""
 
     def large(key, node, n):
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, node, n)], names=["key", "a", "b"])
@@ -187,8 +189,7 @@ def _first_pairs(filed: DataFrame, file_rows: int) -> DataFrame:
                     i, j = np.triu_indices(len(node), 1)
                 else:
                     whole.append((key, node, n))
-                    to = np.random.default_rng(int(key[0]) & 0x7FFFFFFF).choice(len(node), min(PIVOTS, len(node)), replace=False)
-                    i, j = np.repeat(to, len(node)), np.tile(np.arange(len(node)), len(to))
+                    i, j = np.full(len(node), np.argmin(node)), np.arange(len(node))
                 ok = _near_sizes(n[i], n[j]) & (i != j)
                 if ok.any():
                     yield node[i[ok]], node[j[ok]]

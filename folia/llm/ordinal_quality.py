@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.common import give_back
+
 WORD_BINS, TAIL_BINS, SHAPE_BINS = 1 << 17, 1 << 10, 32
 BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
 #: Labelled rows that a fit reads at most (smallest hashes of the id); a documented parameter.
@@ -131,6 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, le
     """Fit on the labelled sample.  Without any labelled text every document gets the top grade."""
 
     def featured(batches):
+        give_back()
         f = Features()
         for b in batches:
             rows = [f(x) for x in b.column("text").to_pylist()]
@@ -193,6 +196,7 @@ def keep_good(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_ta
     at, out = docs.columns.index("text"), to_arrow_schema(docs.schema)
 
     def run(batches):
+        give_back()
         f, m = Features(), CumulativeLink(*shared.value)
         for b in batches:
             good = []

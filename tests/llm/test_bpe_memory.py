@@ -33,3 +33,14 @@ def test_a_long_text_comes_in_blocks(spark, monkeypatch):
     texts = ["one two three four five six seven " * 5, None, "", "x" * 300, "eight nine"]
     got = [b"".join(x) for x in B.encode_texts(v, pattern, texts)]
     assert v.decode(got) == [(t or "").encode() for t in texts]
+
+
+def test_other_stages_drop_the_vocabulary_that_a_worker_keeps():
+    import public_tokenizers
+
+    from folia.llm import duck_bpe
+    from folia.llm.common import give_back
+
+    duck_bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    give_back()
+    assert duck_bpe.vocabulary.cache_info().currsize == 0

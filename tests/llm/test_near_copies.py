@@ -54,6 +54,16 @@ def test_near_copies_equal_brute_force(spark, file_rows):
     assert got == kept_by_brute_force(rows)
 
 
+def test_files_make_rows_in_proportion_to_their_nodes(spark):
+    def made(copies):  # forty files, each of so many near copies
+        rows = [(key, 1000 * key + node, 100) for key in range(40) for node in range(copies)]
+        filed = spark.createDataFrame(rows, "key long, node long, n long").repartition(2, "key").sortWithinPartitions("key")
+        return N._first_pairs(filed, N.FILE_ROWS).count()
+
+    for copies in (3, 5, 10, 16, 17, 100):
+        assert made(copies) <= 2 * 40 * copies
+
+
 def test_stage_drops_near_copies_of_the_tables(spark, data):
     import corpus_pipeline as C
 
