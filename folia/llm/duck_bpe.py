@@ -2,16 +2,19 @@
 
 A piece of text (one match of the tokenizer's pattern) is a set of token-position
 rows, one for each byte at first.  A recursive query joins neighbouring rows with
-the merge table, contracts each piece's leftmost pair of minimum rank and goes on
-until no pair of the piece can be merged.  The merge table holds every split of
-each vocabulary entry into two entries, which is the rule that rank-based
-encoders follow.  Decoding joins ids with the vocabulary and aggregates the
-bytes in position order.  Each task encodes a distinct piece once.
-
-The recursion keeps the rows of every pass, so a query takes pieces of like sizes
-up to ``QUERY_ROWS`` rows over all passes: its memory has the same bound for any
-script.  Pieces longer than ``LONG_PIECE`` bytes (runs without any break) would
-need a pass for each merge; a heap with the same contraction order encodes those.  Vocabulary files are read from a path that is a parameter.
+the merge table, contracts each piece's leftmost pair of minimum rank (``best``
+packs the rank, the place of the pair and that of its second token, which goes)
+and goes on until no pair of the piece can be merged; its rows are then done and
+leave the recursion.  The merge table holds every split of each vocabulary entry
+into two entries, which is the rule that rank-based encoders follow.  Decoding
+joins ids with the vocabulary in position order, which leaves the bytes of a
+sequence next to each other.  A piece that is known is not encoded again.
+
+A query takes pieces of like sizes up to ``QUERY_ROWS`` rows over all passes: its
+memory has the same bound for any script.  Pieces longer than ``LONG_PIECE`` bytes
+(runs without any break) would need a pass for each merge; a heap with the same
+contraction order encodes those.  Vocabulary files are read from a path that is a
+parameter.
 """
 
 from __future__ import annotations
@@ -25,35 +28,37 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Characters of text whose pieces are split together; pieces of a text that are; pieces that a task keeps encoded; see above.
-CHUNK_CHARS, CHUNK_PIECES, CACHE_PIECES, LONG_PIECE = 2_000_000, 500_000, 600_000, 255
+#: Characters of text whose pieces are split together; pieces of a text that are; pieces that a worker keeps encoded before it drops some; see above.
+CHUNK_CHARS, CHUNK_PIECES, CACHE_PIECES, LONG_PIECE = 2_000_000, 500_000, 300_000, 255
 #: Bytes of the pieces of one recursive query; rows of all its passes (a piece of n bytes has n + ... + 1 at most); ids decoded together.
-QUERY_BYTES, QUERY_ROWS, DECODE_IDS = 250_000, 6_000_000, 1_000_000
+QUERY_BYTES, QUERY_ROWS, DECODE_IDS = 250_000, 6_000_000, 250_000
 
 ENCODE_SQL = """
-WITH RECURSIVE step(w, pos, id, nid, n) AS (
-  SELECT w, pos, id, nid, 0::SMALLINT FROM start
+WITH RECURSIVE step(w, pos, id, nid, npos, done) AS (
+  SELECT w, pos, id, nid, (pos + 1)::SMALLINT, false FROM start
   UNION ALL
-  SELECT w, pos, CASE WHEN k = best THEN merged ELSE id END,
-         CASE WHEN k = best THEN after_next WHEN next_k = best THEN next_merged ELSE nid END, (n + 1)::SMALLINT
-  FROM (
-    SELECT *, min(k) OVER (PARTITION BY w ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best,
-           lag(k) OVER near AS last_k, lead(k) OVER near AS next_k,
-           lead(merged) OVER near AS next_merged, lead(nid) OVER near AS after_next
+  SELECT s.w, s.pos, CASE WHEN s.pos = b.first THEN b.merged ELSE s.id END,
+         CASE WHEN s.pos = b.first THEN b.nid WHEN s.npos = b.first THEN b.merged ELSE s.nid END,
+         CASE WHEN s.pos = b.first THEN b.npos ELSE s.npos END, b.w IS NULL
+  FROM step s LEFT JOIN (
+    SELECT a.w, a.merged, a.first, a.gone, g.nid, g.npos
     FROM (
-      SELECT s.*, m.merged, m.merged * 256 + s.pos AS k
-      FROM step s LEFT JOIN merges m ON m.pair = s.id * 4294967296::BIGINT + s.nid
-    ) WINDOW near AS (PARTITION BY w ORDER BY pos)
-  )
-  WHERE best IS NOT NULL AND (last_k IS NULL OR last_k <> best)
+      SELECT w, (best // 65536)::INTEGER AS merged, (best // 256 % 256)::SMALLINT AS first, (best % 256)::SMALLINT AS gone
+      FROM (
+        SELECT s.w, min(m.merged * 65536::BIGINT + s.pos * 256::INTEGER + s.npos) AS best
+        FROM step s JOIN merges m ON m.pair = s.id * 4294967296::BIGINT + s.nid GROUP BY s.w
+      )
+    ) a JOIN step g ON g.w = a.w AND g.pos = a.gone
+  ) b ON s.w = b.w
+  WHERE NOT s.done AND (b.w IS NULL OR s.pos <> b.gone)
 )
-SELECT s.w, list(s.id ORDER BY s.pos) AS ids
-FROM step s JOIN (SELECT w, max(n) AS n FROM step GROUP BY w) USING (w, n) GROUP BY s.w ORDER BY s.w
+SELECT w, list(id ORDER BY pos) AS ids FROM step WHERE done GROUP BY w ORDER BY w
 """
-DECODE_SQL = "SELECT s, string_agg(chars, '' ORDER BY pos) AS chars FROM tokens JOIN vocabulary USING (id) GROUP BY s ORDER BY s"
+DECODE_SQL = "SELECT t.pos, v.raw FROM tokens t JOIN vocabulary v ON v.id = t.id ORDER BY t.pos"
 
 
 class Vocabulary:
@@ -74,7 +79,7 @@ class Vocabulary:
         self.db = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})
         self._load("merges", pa.table({"pair": pa.array(pairs, pa.int64()), "merged": pa.array(merged, pa.int32())}))
         ids = list(self.ranks.values())
-        self._load("vocabulary", pa.table({"id": pa.array(ids, pa.int64()), "chars": [x.decode("latin-1") for x in self.ranks]}))
+        self._load("vocabulary", pa.table({"id": pa.array(ids, pa.int64()), "raw": pa.array(list(self.ranks), pa.binary())}))
         self.bytes_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.encoded: dict[str, bytes] = {}
         self.decoded: dict[bytes, bytes] = {}
@@ -86,11 +91,12 @@ class Vocabulary:
 
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces not yet known and decode the new id sequences."""
-        if len(self.encoded) > CACHE_PIECES:
-            self.encoded.clear()
-            self.decoded.clear()
+        if len(self.encoded) > CACHE_PIECES:  # what these pieces need stays, so frequent words do
+            self.encoded = {p: self.encoded[p] for p in pieces & self.encoded.keys()}
+            self.decoded = {x: self.decoded[x] for x in self.encoded.values()}
         todo: list[tuple[str, bytes]] = []
-        for piece in pieces - self.encoded.keys():
+        fresh = pieces - self.encoded.keys()
+        for piece in fresh:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 self.encoded[piece] = rank.to_bytes(4, "little")
@@ -100,7 +106,7 @@ class Vocabulary:
                 todo.append((piece, raw))
         for part in _batches(todo):
             self.encoded.update(zip((p for p, _ in part), self.recurse([raw for _, raw in part]), strict=True))
-        new = list({self.encoded[p] for p in pieces} - self.decoded.keys())
+        new = list({self.encoded[p] for p in fresh} - self.decoded.keys())
         self.decoded.update(zip(new, self.decode(new), strict=True))
 
     def recurse(self, raws: list[bytes]) -> Iterator[bytes]:
@@ -123,40 +129,34 @@ class Vocabulary:
             begin = end
 
     def decode(self, sequences: list[bytes]) -> list[bytes]:
-        """Bytes of each id sequence by ordered aggregation; an id outside the vocabulary raises."""
-        parts, sizes = [], []
-        for x in sequences:
-            cut = [x[i : i + 4 * DECODE_IDS] for i in range(0, len(x), 4 * DECODE_IDS)]
-            parts += cut
-            sizes.append(len(cut))
+        """Bytes of each id sequence by an ordered join; an id outside the vocabulary raises."""
+        limit = 4 * DECODE_IDS
         raw: list[bytes] = []
         held, size = [], 0
-        for x in parts:
-            if held and size + len(x) > 4 * DECODE_IDS:
+        for x in sequences:
+            if held and size + len(x) > limit:
                 raw += self._decode(held)
                 held, size = [], 0
-            held.append(x)
-            size += len(x)
-        raw += self._decode(held)
-        ends = np.cumsum(sizes).tolist() if sizes else []
-        return [b"".join(raw[e - n : e]) for n, e in zip(sizes, ends, strict=True)]
+            if len(x) > limit:
+                raw.append(b"".join(self._decode([x[i : i + limit]])[0] for i in range(0, len(x), limit)))
+            else:
+                held.append(x)
+                size += len(x)
+        return raw + self._decode(held)
 
     def _decode(self, sequences: list[bytes]) -> list[bytes]:
         if not sequences:
             return []
-        counts = np.array([len(x) // 4 for x in sequences])
         ids = np.frombuffer(b"".join(sequences), dtype="<u4").astype(np.int64)
-        s = np.repeat(np.arange(len(counts)), counts)
-        pos = np.arange(len(ids)) - np.repeat(np.cumsum(counts) - counts, counts)
-        self.db.register("tokens", pa.table({"s": s, "pos": pos, "id": ids}))
-        if self.db.sql("SELECT count(*) FROM tokens ANTI JOIN vocabulary USING (id)").fetchall()[0][0]:
-            raise ValueError("an id is not in the vocabulary")
-        got = self.db.sql(DECODE_SQL).to_arrow_table()
+        self.db.register("tokens", pa.table({"pos": np.arange(len(ids)), "id": ids}))
+        got = self.db.sql(DECODE_SQL).to_arrow_table().column("raw").combine_chunks()
         self.db.unregister("tokens")
-        out = [b""] * len(counts)
-        for i, chars in zip(got.column("s").to_pylist(), got.column("chars").to_pylist(), strict=True):
-            out[i] = chars.encode("latin-1")
-        return out
+        if len(got) != len(ids):
+            raise ValueError("an id is not in the vocabulary")
+        # the rows stand in order, so the bytes of a sequence are next to each other
+        raw = got.buffers()[2].to_pybytes() if len(got) else b""
+        ends = np.append(0, np.cumsum(pc.binary_length(got).to_numpy()))[np.cumsum([len(x) // 4 for x in sequences])].tolist()
+        return [raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)]
 
     def long_piece(self, raw: bytes) -> list[int]:
         """The same contraction order with a heap of (rank, position) over linked positions."""
@@ -216,8 +216,7 @@ def encoded_blocks(v: Vocabulary, pattern, texts: Iterable[str | None]) -> Itera
 
     def known():
         v.learn(set().union(*(p for _, p in held)))
-        get = v.encoded.__getitem__
-        return [(i, [get(p) for p in pieces]) for i, pieces in held]
+        return [(i, list(map(v.encoded.__getitem__, pieces))) for i, pieces in held]
 
     for i, text in enumerate(texts):
         text = text or ""
@@ -315,13 +314,13 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
         for b in batches:
             count = [0] * b.num_rows
             coded, plain = [hashlib.sha256() for _ in count], [hashlib.sha256() for _ in count]
-            for block in encoded_blocks(v, p, b.column(1).to_pylist()):
-                back = v.decoded
+            for block in encoded_blocks(v, p, (x.as_py() for x in b.column(1))):
+                back = v.decoded.__getitem__
                 for i, sequences in block:
                     ids = b"".join(sequences)
                     count[i] += len(ids) // 4
                     coded[i].update(ids)
-                    plain[i].update(b"".join([back[x] for x in sequences]))
+                    plain[i].update(b"".join(map(back, sequences)))
             digests = (pa.array([h.hexdigest() for h in hs], pa.string()) for hs in (coded, plain))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(count, pa.int64()), *digests], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

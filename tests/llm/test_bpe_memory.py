@@ -44,3 +44,15 @@ def test_other_stages_drop_the_vocabulary_that_a_worker_keeps():
     duck_bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     give_back()
     assert duck_bpe.vocabulary.cache_info().currsize == 0
+
+
+def test_a_full_cache_keeps_what_the_next_pieces_need(monkeypatch):
+    monkeypatch.setattr(B, "CACHE_PIECES", 3)
+    v = B.Vocabulary(B._default_path())
+    often = {"qzaqz", "qzbqz", "qzcqz", "qzdqz"}
+    v.learn(often | {"qzeqz"})
+    asked, recurse = [], v.recurse
+    monkeypatch.setattr(v, "recurse", lambda raws: (asked.extend(raws), recurse(raws))[1])
+    v.learn(often | {"qzfqz"})
+    assert asked == [b"qzfqz"] and "qzeqz" not in v.encoded
+    assert all(v.decoded[v.encoded[p]] == p.encode() for p in often | {"qzfqz"})
