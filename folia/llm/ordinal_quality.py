@@ -3,6 +3,11 @@
 A text is a sparse vector of hashed features with one shared weight vector; K
 grades share it through K-1 ordered thresholds, P(grade <= j) = logistic(t_j - s).
 The fit gives the expected grade and the tail probability that selection uses.
+
+Every labelled text takes part.  The ids are dealt by hash to shares of about
+``FIT_ROWS``, each task fits the model of a share, and the models' parameters are
+averaged by rows, so a task's memory and what the driver gets (``BINS`` numbers)
+are the same for any number of labels.
 """
 
 from __future__ import annotations
@@ -19,8 +24,8 @@ from folia.llm.common import give_back
 
 WORD_BINS, TAIL_BINS, SHAPE_BINS = 1 << 17, 1 << 10, 32
 BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
-#: Labelled rows that a fit reads at most (smallest hashes of the id); a documented parameter.
-SAMPLE_ROWS = 6000
+#: Labelled rows of a share, about; parts of one in which parameters are summed, as whole numbers, so that their order does not count.
+FIT_ROWS, UNIT = 3000, 1 << 30
 CACHE_WORDS = 150_000
 _TAIL = re.compile(r"[^\w]*\Z")
 
@@ -117,42 +122,73 @@ def graded(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``(text, grade)`` of at most ``sample_rows`` labelled documents, fixed by a hash of their ids."""
-    picked = (
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int]:
+    """``(doc_id, grade, share, text)`` of all labelled rows with a text, and the number of shares."""
+    graded_ids = (
         labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), graded(labels).alias("grade"))
         .groupBy("doc_id").agg(F.min("grade").alias("grade"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
     )
+    shares = max(1, -(-graded_ids.count() // fit_rows))
+    picked = graded_ids.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = rows.join(F.broadcast(picked), "doc_id")  # at most sample_rows rows of two numbers
-    return found.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one row of each id, however often it stands
-
-
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, levels: int = 3) -> CumulativeLink:
-    """Fit on the labelled sample.  Without any labelled text every document gets the top grade."""
+    return rows.join(picked, "doc_id").select("doc_id", "grade", "share", "text"), shares
+
+
+def _share_rows(batches):
+    """``(rows, grades)`` of each share; rows come sorted by share, id and digest, and an id's first counts."""
+    share, last, rows, grades = None, None, [], []
+    for b in batches:
+        ids, got, grade = (b.column(n).to_pylist() for n in ("doc_id", "share", "grade"))
+        bins, vals = b.column("bins"), b.column("vals")
+        for i in range(b.num_rows):
+            if got[i] != share:
+                if rows:
+                    yield rows, np.array(grades)
+                share, last, rows, grades = got[i], None, [], []
+            if ids[i] != last:
+                last = ids[i]
+                rows.append((bins[i].values.to_numpy().astype(np.int64), vals[i].values.to_numpy().astype(np.float64)))
+                grades.append(grade[i])
+    if rows:
+        yield rows, np.array(grades)
+
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, levels: int = 3) -> CumulativeLink:
+    """Fit on all labelled texts.  Without any every document gets the top grade."""
 
     def featured(batches):
+        from xxhash import xxh64_intdigest
+
         give_back()
         f = Features()
         for b in batches:
-            rows = [f(x) for x in b.column("text").to_pylist()]
+            texts = b.column("text").to_pylist()
+            rows = [f(x) for x in texts]
+            digest = np.array([xxh64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("grade"), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
-                names=["doc_id", "grade", "bins", "vals"],
+                [b.column("doc_id"), b.column("grade"), b.column("share"), pa.array(digest), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
+                names=["doc_id", "grade", "share", "digest", "bins", "vals"],
             )
 
-    got = training_rows(docs, labels, sample_rows).mapInArrow(featured, "doc_id long, grade int, bins array<int>, vals array<float>").toArrow()
+    def fitted(batches):
+        """(at, part) of each share's model times its rows, in ``UNIT``: weights, thresholds, and a one."""
+        give_back()
+        for rows, grades in _share_rows(batches):
+            model = CumulativeLink.fit(rows, grades.astype(np.int64), levels)
+            p = np.concatenate([model.weights, model.thresholds, [1.0]])
+            at = np.flatnonzero(p)
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.rint(p[at] * UNIT).astype(np.int64) * len(rows))], names=["at", "part"])
+
+    rows, shares = training_rows(docs, labels, fit_rows)
+    dealt = rows.mapInArrow(featured, "doc_id long, grade int, share int, digest long, bins array<int>, vals array<float>")
+    parts = dealt.repartition(shares, "share").sortWithinPartitions("share", "doc_id", "digest").mapInArrow(fitted, "at int, part long")
+    got = parts.groupBy("at").agg(F.sum(F.col("part").cast("decimal(20,0)")).cast("double").alias("total")).toArrow()
     if got.num_rows == 0:
         return CumulativeLink(np.zeros(BINS, dtype=np.float32), np.full(levels - 1, -60.0))
-    got = got.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
-    bins, vals = got.column("bins").combine_chunks(), got.column("vals").combine_chunks()
-    ends = np.cumsum(bins.value_lengths().to_numpy())[:-1]
-    rows = list(zip(np.split(bins.flatten().to_numpy().astype(np.int64), ends), np.split(vals.flatten().to_numpy().astype(np.float64), ends), strict=True))
-    model = CumulativeLink.fit(rows, got.column("grade").to_numpy().astype(np.int64), levels)
-    del rows, bins, vals, got
-    pa.default_memory_pool().release_unused()  # the driver goes on with other stages
-    return model
+    p = np.zeros(BINS + levels)
+    p[got.column("at").to_numpy()] = got.column("total").to_numpy()
+    p /= p[-1]
+    return CumulativeLink(p[:BINS].astype(np.float32), p[BINS:-1])
 
 
 def classify(docs: DataFrame, model: CumulativeLink, min_grade: int = 2, min_tail: float = 0.6, keep_columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:

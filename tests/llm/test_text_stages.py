@@ -59,6 +59,23 @@ def test_ordinal_fit_and_edges(spark):
     assert all(r.keep for r in O.classify(docs(spark, rows), untrained).collect())
 
 
+def test_ordinal_fit_reads_every_label(spark):
+    words = ("fine text of words ", "idiot scum trash ", "zz%%% yy%%% ")
+    rows = [(i, words[i % 3] * 5 + f"only{i}x") for i in range(90)] + [(0, "again")]
+    labels = spark.createDataFrame([(i, int(i % 3 != 2), int(i % 3 == 1)) for i in range(95)], "doc_id long, quality int, toxic int")
+    f, fit = O.Features(), O.CumulativeLink.fit
+    got, shares = O.training_rows(docs(spark, rows), labels, 20)
+    assert shares == 5 and {r.doc_id for r in got.collect()} == set(range(90))
+    by = {s: sorted((r.doc_id, r.text, r.grade) for r in got.collect() if r.share == s and r.text != "again") for s in range(5)}
+    models = [(fit([f(t) for _, t, _ in x], np.array([g for _, _, g in x]), 3), len(x)) for x in by.values() if x]
+    model = O.train(docs(spark, rows[:-1]), labels, 20)
+    assert sum(n for _, n in models) == 90
+    assert np.allclose(model.weights, sum(m.weights * n for m, n in models) / 90, atol=1e-3)
+    assert np.allclose(model.thresholds, sum(m.thresholds * n for m, n in models) / 90, atol=1e-3)
+    again = O.train(docs(spark, rows[::-1]).repartition(7), labels, 20)
+    assert np.array_equal(again.weights, O.train(docs(spark, rows), labels, 20).weights)
+
+
 # op8
 
 TEXTS = ["", "a" * 3000, "ab" * 700, " " * 999, "\n\n  \t x", "日本語テキスト😀😀", "it's we've I'll", "é" * 300, "Thonre ingedly, the heating of 12345 !!! ???", "\x00\x7f̀ ‍"]
