@@ -106,7 +106,7 @@ def _common(docs: DataFrame, size: int) -> np.ndarray:
 
     often = picked.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
     # a bounded number: the members of the sampled texts, at most a third of them
-    return np.sort(np.array([r.h for r in often.select("h").toLocalIterator()], dtype=np.int64).view(np.uint64))
+    return np.sort(often.select("h").toArrow().column("h").to_numpy().view(np.uint64))
 
 
 def _marked(docs: DataFrame, common: np.ndarray) -> DataFrame:
