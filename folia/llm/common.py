@@ -41,12 +41,8 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def give_back() -> None:
-    """Called by a stage's task: the worker it runs in drops what the encoder's tasks before it kept, and returns free memory."""
-    encoder = sys.modules.get("folia.llm.duck_bpe")
-    if encoder is None or not encoder.vocabulary.cache_info().currsize:
-        return
-    encoder.vocabulary.cache_clear()
+def trim() -> None:
+    """Called by a stage's task: the worker it runs in returns the memory that tasks before it have freed."""
     gc.collect()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
@@ -54,6 +50,14 @@ def give_back() -> None:
         pass
 
 
+def give_back() -> None:
+    """As ``trim``, after the worker has dropped what the encoder's tasks before it kept."""
+    encoder = sys.modules.get("folia.llm.duck_bpe")
+    if encoder is not None:
+        encoder.vocabulary.cache_clear()
+    trim()
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove a table of ``cut_table`` that nothing reads any more, and the shuffle files that nothing refers to."""
     spark = df.sparkSession

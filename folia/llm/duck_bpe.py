@@ -32,6 +32,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.common import trim
+
 #: Characters of text whose pieces are split together; pieces of a text that are; pieces that a worker keeps encoded before it drops some; see above.
 CHUNK_CHARS, CHUNK_PIECES, CACHE_PIECES, LONG_PIECE = 2_000_000, 500_000, 300_000, 255
 #: Bytes of the pieces of one recursive query; rows of all its passes (a piece of n bytes has n + ... + 1 at most); ids decoded together.
@@ -310,6 +312,7 @@ def token_digests(docs: DataFrame, path: str | None = None, pattern: str | None
     path = path or _default_path()
 
     def run(batches):
+        trim()
         v, p = _setup(path, pattern)
         for b in batches:
             count = [0] * b.num_rows

@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folia.llm.common import give_back
+
 MIN_CHARS, MIN_NAMED = 16, 8
 RUN, MIXED = re.compile(r"[A-Za-z0-9_+/=~.-]{%d,}" % MIN_CHARS), re.compile(r"[0-9]|[a-z].*[A-Z]|[A-Z].*[a-z]")
 #: A value in quotes, or up to the next space, after an assignment; of any length.
@@ -282,6 +284,7 @@ def redact(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counted = "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, T.LongType)
 
     def run(batches):
+        give_back()
         f = forest.value
         for b in batches:
             texts = b.column(names.index("text")).to_pylist()

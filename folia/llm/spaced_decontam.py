@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folia.llm.common import give_back
+
 MASKS = ("11010011", "111101", "1110111")
 MIN_TOKENS = 13
 #: Bytes of benchmark text up to which its hashes go to every task; beyond, both sides are shuffled by hash.
@@ -226,6 +228,7 @@ def without_overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ..
     at, out = docs.columns.index("text"), to_arrow_schema(docs.schema)
 
     def run(batches):
+        give_back()
         bench = Benchmark(index.value, masks, min_tokens)
         for b in batches:
             hit = {got[0] for got in bench.scan(list(enumerate(b.column(at).to_pylist())))}

@@ -56,3 +56,18 @@ def test_a_full_cache_keeps_what_the_next_pieces_need(monkeypatch):
     v.learn(often | {"qzfqz"})
     assert asked == [b"qzfqz"] and "qzeqz" not in v.encoded
     assert all(v.decoded[v.encoded[p]] == p.encode() for p in often | {"qzfqz"})
+
+
+def test_the_stages_before_the_encoder_give_back_too(spark, monkeypatch):
+    from folia.llm.secret_forest import redact
+    from folia.llm.spaced_decontam import without_overlaps
+
+    rows = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "an item")], "item_id long, text string")
+    made = []
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda self, f, schema, *_: made.append(f) or self)
+    redact(rows)
+    without_overlaps(rows, items)
+    for run in made[-1], made[0]:
+        B.vocabulary(B._default_path())
+        assert list(run(iter([]))) == [] and B.vocabulary.cache_info().currsize == 0
