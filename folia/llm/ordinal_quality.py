@@ -7,13 +7,16 @@ The fit gives the expected grade and the tail probability that selection uses.
 Every labelled text takes part.  The ids are dealt by hash to shares of about
 ``FIT_ROWS``, each task fits the model of a share, and the models' parameters are
 averaged by rows, so a task's memory and what the driver gets (``BINS`` numbers)
-are the same for any number of labels.
+are the same for any number of labels.  Texts move once, to their shares, where
+they meet their grades; a bitmap of ``MARKS`` bits of the labelled ids' hashes
+leaves most others where they are, and its size is the same for any table.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +30,8 @@ BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
 #: Labelled rows of a share, about; parts of one in which parameters are summed, as whole numbers, so that their order does not count.
 FIT_ROWS, UNIT = 3000, 1 << 30
 CACHE_WORDS = 150_000
+#: Bits by which texts without a label are left out early (those that pass meet no grade); a power of two.
+MARKS = 1 << 25
 _TAIL = re.compile(r"[^\w]*\Z")
 
 
@@ -122,66 +127,79 @@ def graded(labels: DataFrame) -> Column:
     return F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int]:
-    """``(doc_id, grade, share, text)`` of all labelled rows with a text, and the number of shares."""
+def _dealt(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[DataFrame, int]:
+    """``(share, doc_id, grade, text)``, a share in one partition, and the number of shares: an id's grade comes before its texts, which have none."""
     graded_ids = (
         labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), graded(labels).alias("grade"))
         .groupBy("doc_id").agg(F.min("grade").alias("grade"))
     )
     shares = max(1, -(-graded_ids.count() // fit_rows))
-    picked = graded_ids.withColumn("share", F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.join(picked, "doc_id").select("doc_id", "grade", "share", "text"), shares
+    share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int").alias("share")
+    mark = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(MARKS)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(F.lit(63)))
+    word = F.shiftright(mark, 6)
+    marks = graded_ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    near = rows.withColumn("_word", word).join(F.broadcast(marks), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)  # MARKS / 64 rows at most
+    grades = graded_ids.select(share, "doc_id", "grade", F.lit(None).cast("string").alias("text"))
+    both = grades.unionByName(near.select(share, "doc_id", F.lit(None).cast("int").alias("grade"), "text"))
+    return both.repartition(shares, "share").sortWithinPartitions("share", "doc_id", F.col("grade").isNull()), shares
+
+
+def _graded_texts(batches):
+    """``(share, doc_id, grade, text)`` of the texts in ``_dealt`` rows whose id has a grade."""
+    at = grade = None
+    for b in batches:
+        for share, i, got, text in zip(*(b.column(n).to_pylist() for n in ("share", "doc_id", "grade")), b.column("text"), strict=True):
+            if got is not None:
+                at, grade = i, got
+            elif i == at:
+                yield share, i, grade, text.as_py()
 
 
-def _share_rows(batches):
-    """``(rows, grades)`` of each share; rows come sorted by share, id and digest, and an id's first counts."""
-    share, last, rows, grades = None, None, [], []
-    for b in batches:
-        ids, got, grade = (b.column(n).to_pylist() for n in ("doc_id", "share", "grade"))
-        bins, vals = b.column("bins"), b.column("vals")
-        for i in range(b.num_rows):
-            if got[i] != share:
-                if rows:
-                    yield rows, np.array(grades)
-                share, last, rows, grades = got[i], None, [], []
-            if ids[i] != last:
-                last = ids[i]
-                rows.append((bins[i].values.to_numpy().astype(np.int64), vals[i].values.to_numpy().astype(np.float64)))
-                grades.append(grade[i])
-    if rows:
-        yield rows, np.array(grades)
+def _first_texts(rows):
+    """Of each id's rows the one of the smallest digest."""
+    from xxhash import xxh64_intdigest
 
+    for _, same in groupby(rows, key=lambda row: row[1]):
+        first = next(same)
+        for row in same:
+            first = min(first, row, key=lambda x: (xxh64_intdigest(x[3]) ^ (1 << 63)))  # as a signed long
+        yield first
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, levels: int = 3) -> CumulativeLink:
-    """Fit on all labelled texts.  Without any every document gets the top grade."""
 
-    def featured(batches):
-        from xxhash import xxh64_intdigest
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[DataFrame, int]:
+    """``(doc_id, grade, share, text)`` of all labelled rows with a text, and the number of shares."""
+
+    def run(batches):
+        rows = _graded_texts(batches)
+        while part := list(islice(rows, 256)):
+            share, i, grade, text = zip(*part, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(grade, pa.int32()), pa.array(share, pa.int32()), pa.array(text, pa.string())], names=["doc_id", "grade", "share", "text"])
+
+    dealt, shares = _dealt(docs, labels, fit_rows)
+    return dealt.mapInArrow(run, "doc_id long, grade int, share int, text string"), shares
 
-        give_back()
-        f = Features()
-        for b in batches:
-            texts = b.column("text").to_pylist()
-            rows = [f(x) for x in texts]
-            digest = np.array([xxh64_intdigest(x) for x in texts], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("grade"), b.column("share"), pa.array(digest), pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([r[1].astype(np.float32) for r in rows], pa.list_(pa.float32()))],
-                names=["doc_id", "grade", "share", "digest", "bins", "vals"],
-            )
+
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, levels: int = 3) -> CumulativeLink:
+    """Fit on all labelled texts.  Without any every document gets the top grade."""
 
     def fitted(batches):
         """(at, part) of each share's model times its rows, in ``UNIT``: weights, thresholds, and a one."""
         give_back()
-        for rows, grades in _share_rows(batches):
-            model = CumulativeLink.fit(rows, grades.astype(np.int64), levels)
+        f = Features()
+        for _, group in groupby(_first_texts(_graded_texts(batches)), key=lambda row: row[0]):
+            rows, grades = [], []
+            for _, _, grade, text in group:
+                bins, values = f(text)
+                rows.append((bins, values.astype(np.float32).astype(np.float64)))
+                grades.append(grade)
+            model = CumulativeLink.fit(rows, np.array(grades, dtype=np.int64), levels)
             p = np.concatenate([model.weights, model.thresholds, [1.0]])
             at = np.flatnonzero(p)
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.rint(p[at] * UNIT).astype(np.int64) * len(rows))], names=["at", "part"])
 
-    rows, shares = training_rows(docs, labels, fit_rows)
-    dealt = rows.mapInArrow(featured, "doc_id long, grade int, share int, digest long, bins array<int>, vals array<float>")
-    parts = dealt.repartition(shares, "share").sortWithinPartitions("share", "doc_id", "digest").mapInArrow(fitted, "at int, part long")
+    parts = _dealt(docs, labels, fit_rows)[0].mapInArrow(fitted, "at int, part long")
     got = parts.groupBy("at").agg(F.sum(F.col("part").cast("decimal(20,0)")).cast("double").alias("total")).toArrow()
     if got.num_rows == 0:
         return CumulativeLink(np.zeros(BINS, dtype=np.float32), np.full(levels - 1, -60.0))
