@@ -9,6 +9,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Bits of a sieve, a power of two.
+SIEVE_BITS = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,20 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def sieve(rows: DataFrame, names: DataFrame, columns: list[str], inside: bool = True, bits: int = SIEVE_BITS) -> DataFrame:
+    """The rows that may be among ``names`` by ``columns``: all that are, and some by chance; not ``inside``: the others, which surely are not.
+
+    Nothing is shuffled but the words of a bitmap, whose size is the same for any
+    table; an exact join may follow on the few rows that are left.
+    """
+    mark = F.pmod(F.xxhash64(*columns, F.lit(1)), F.lit(bits)).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(F.lit(63)))
+    words = names.select(F.shiftright(mark, 6).alias("_word"), bit.alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = rows.withColumn("_word", F.shiftright(mark, 6)).join(F.broadcast(words), "_word", "inner" if inside else "left")
+    on = F.coalesce(F.col("_bits").bitwiseAND(bit) != 0, F.lit(False))
+    return met.where(on if inside else ~on).select(*[f"`{c}`" for c in rows.columns])
+
+
 def trim() -> None:
     """Called by a stage's task: the worker it runs in returns the memory that tasks before it have freed."""
     gc.collect()
@@ -58,12 +76,17 @@ def give_back() -> None:
     trim()
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove a table of ``cut_table`` that nothing reads any more, and the shuffle files that nothing refers to."""
-    spark = df.sparkSession
+def drop_table(*tables: DataFrame) -> None:
+    """Remove tables of ``cut_table`` that nothing reads any more, and the shuffle files that nothing refers to."""
+    spark = tables[0].sparkSession
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for where in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for where in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(conf).delete(path, True)
+    sweep(spark)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let shuffle files and broadcasts go that nothing refers to any more, and with them memory of the driver."""
     gc.collect()
-    jvm.System.gc()
+    spark._jvm.System.gc()

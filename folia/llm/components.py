@@ -5,7 +5,9 @@ neighbour, pointers are doubled until all reach a root, and edges are rewritten
 to the roots; edges inside one tree vanish.  The minimum of a component always
 points at itself, so the last label is the component's smallest vertex.  A hub
 of any degree only meets a partially aggregated ``min`` and inner joins that
-adaptive execution can split.  The lineage is cut each round.
+adaptive execution can split.  The lineage is cut each round by
+tables, for a checkpoint passes on the estimated sizes of the joins before it,
+whose digits multiply from join to join until planning takes longer than the work.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import cut
+from folia.llm.common import cut, cut_table, drop_table
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -23,24 +25,29 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     that can be reached.  An empty edge table gives an empty result.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
-    e = cut(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    e = cut_table(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels: DataFrame | None = None
+    tables = [e]
     kind = e.schema["a"].dataType
     while not e.isEmpty():
-        up = cut(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        up = cut_table(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("up")))
+        tables.append(up)
         while True:  # to the roots, in as many steps as the logarithm of the longest path
             over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = cut(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            up = cut_table(up.join(over, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            tables.append(up)
             if up.where("moved").isEmpty():
                 break
         left = up.select(F.col("node").alias("a"), F.col("up").alias("x"))
         right = up.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        e = cut(e.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        e = cut_table(e.join(left, "a").join(right, "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        tables.append(e)
         if labels is None:
-            labels = up.select("node", F.col("up").alias("component"))
+            labels = cut(up.select("node", F.col("up").alias("component")))
         else:
             step = up.select(F.col("node").alias("component"), F.col("up").alias("next"))
             labels = cut(labels.join(step, "component", "left").select("node", F.coalesce("next", "component").alias("component")))
     if labels is None:
         return e.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("component"))
+    drop_table(*tables)
     return labels

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folia.llm.common import cut, cut_table, drop_table, give_back
+from folia.llm.common import cut, cut_table, drop_table, give_back, sieve, sweep
 from folia.llm.components import connected_components
 from folia.llm.simhash_gray import ROW_NAME, links, only, row_name
 
@@ -250,7 +250,8 @@ def _verified(pairs: DataFrame, marked: DataFrame, firsts: DataFrame) -> DataFra
     members = pairs.join(shares, "a").select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), F.col("b").alias("node"))
     centers = shares.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("node"))
     wanted = members.unionByName(centers).join(firsts, "node")
-    rows = wanted.join(marked.select(*ROW_NAME, "text"), list(ROW_NAME)).select("a", "share", "node", "text")
+    texts = sieve(marked.select(*ROW_NAME, "text"), wanted, list(ROW_NAME))
+    rows = wanted.join(texts, list(ROW_NAME)).select("a", "share", "node", "text")
 
     def run(batches):
         center, ours, seen = None, None, None
@@ -282,13 +283,17 @@ def _linked(pairs: DataFrame, marked: DataFrame, firsts: DataFrame) -> DataFrame
     """
     first = cut(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
     found = cut(_verified(first, marked, firsts))
+    sweep(pairs.sparkSession)
     up = found.select(F.col("b").alias("node"), F.col("a").alias("up"))
     over = up.select(F.col("node").alias("up"), F.col("up").alias("top"))
     tops = cut(up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("top")))
     end = lambda side: tops.select(F.col("node").alias(side), F.col("top").alias(f"top_{side}"))
     apart = F.coalesce("top_a", "a") != F.coalesce("top_b", "b")
     left = cut(pairs.join(first, ["a", "b"], "left_anti").join(end("a"), "a", "left").join(end("b"), "b", "left").where(apart).select("a", "b"))
-    return found if left.isEmpty() else cut(found.unionByName(_verified(left, marked, firsts)))
+    if not left.isEmpty():
+        found = cut(found.unionByName(_verified(left, marked, firsts)))
+    sweep(pairs.sparkSession)
+    return found
 
 
 def components(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
@@ -296,6 +301,7 @@ def components(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     marked = cut_table(_marked(docs, _common(docs, docs.count())))
     firsts = cut(marked.groupBy("node").agg(F.min(F.struct(*ROW_NAME)).alias("m"), F.min("n").alias("n"), F.min("fp").alias("fp")).select("node", *[f"m.{n}" for n in ROW_NAME], "n", "fp"))
     bits = marked.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
+    sweep(docs.sparkSession)
     # candidates of the SimHash index, over one node of each fingerprint
     heads = cut(firsts.groupBy("fp").agg(F.min("node").alias("head")))
     ends = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"h_{side}"))
@@ -306,7 +312,9 @@ def components(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     filed = nodes.select(F.explode("keys").alias("key"), "node", "n").repartition("key").sortWithinPartitions("key")
     first = cut(_first_pairs(filed, file_rows))
     every = close.unionByName(alike).unionByName(first.where("key is null").select("a", "b"))
+    sweep(docs.sparkSession)
     pairs = cut(_passed(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), bits))
+    sweep(docs.sparkSession)
     names = firsts.select("node", *ROW_NAME)
     found = _linked(pairs, marked, names)
     linked = connected_components(found, "a", "b")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folia.llm.common import give_back
+from folia.llm.common import SIEVE_BITS, give_back, sieve
 
 WORD_BINS, TAIL_BINS, SHAPE_BINS = 1 << 17, 1 << 10, 32
 BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
@@ -31,7 +31,7 @@ BINS = WORD_BINS + TAIL_BINS + SHAPE_BINS
 FIT_ROWS, UNIT = 3000, 1 << 30
 CACHE_WORDS = 150_000
 #: Bits by which texts without a label are left out early (those that pass meet no grade); a power of two.
-MARKS = 1 << 25
+MARKS = SIEVE_BITS
 _TAIL = re.compile(r"[^\w]*\Z")
 
 
@@ -135,12 +135,8 @@ def _dealt(docs: DataFrame, labels: DataFrame, fit_rows: int) -> tuple[DataFrame
     )
     shares = max(1, -(-graded_ids.count() // fit_rows))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(shares)).cast("int").alias("share")
-    mark = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(MARKS)).cast("int")
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark.bitwiseAND(F.lit(63)))
-    word = F.shiftright(mark, 6)
-    marks = graded_ids.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    near = rows.withColumn("_word", word).join(F.broadcast(marks), "_word").where(F.col("_bits").bitwiseAND(bit) != 0)  # MARKS / 64 rows at most
+    near = sieve(rows, graded_ids, ["doc_id"], bits=MARKS)
     grades = graded_ids.select(share, "doc_id", "grade", F.lit(None).cast("string").alias("text"))
     both = grades.unionByName(near.select(share, "doc_id", F.lit(None).cast("int").alias("grade"), "text"))
     return both.repartition(shares, "share").sortWithinPartitions("share", "doc_id", F.col("grade").isNull()), shares

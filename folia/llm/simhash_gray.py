@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from folia.llm.common import cut
+from folia.llm.common import cut, sieve
 from folia.llm.components import connected_components
 
 WORDS, DISTANCE, SEED = 3, 2, 42
@@ -305,9 +305,13 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``row_name`` is in ``keep``, each name once."""
+    """The rows of ``docs`` whose ``row_name`` is in ``keep``, each name once.
+
+    Rows that surely are and have no equals stay where they are; only the others are moved.
+    """
     named, keep = row_name(docs), cut(keep)
-    repeats = named.groupBy(*ROW_NAME).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    if not repeats.isEmpty():
-        named = named.dropDuplicates(list(ROW_NAME))
-    return named.join(keep, list(ROW_NAME), "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    counts = named.groupBy(*ROW_NAME).agg(F.count(F.lit(1)).alias("_n"))
+    loose = cut(counts.join(keep.withColumn("_kept", F.lit(True)), list(ROW_NAME), "left").where("_kept is null or _n > 1").select(*ROW_NAME))
+    moved = sieve(named, loose, list(ROW_NAME)).dropDuplicates(list(ROW_NAME)).join(keep, list(ROW_NAME), "left_semi")
+    stay = sieve(named, loose, list(ROW_NAME), inside=False)
+    return stay.unionByName(moved).select(*[f"`{c}`" for c in docs.columns])
