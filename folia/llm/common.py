@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a sieve, a power of two.
 SIEVE_BITS = 1 << 24
+#: Rows of a few numbers each that fill a file.
+FILL_ROWS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +47,15 @@ def cut_table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of ``rows`` rows of a few numbers at most, in no more partitions than these fill, but one for each core.
+
+    To be written: each file of a local file system starts two processes of the
+    executor, which count for a moment with all its memory. No row is moved.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILL_ROWS)))
+
+
 def sieve(rows: DataFrame, names: DataFrame, columns: list[str], inside: bool = True, bits: int = SIEVE_BITS) -> DataFrame:
     """The rows that may be among ``names`` by ``columns``: all that are, and some by chance; not ``inside``: the others, which surely are not.
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from folia.llm.common import cut, cut_table, drop_table, give_back, sieve, sweep
+from folia.llm.common import cut, cut_table, drop_table, few, give_back, sieve, sweep
 from folia.llm.components import connected_components
 from folia.llm.simhash_gray import ROW_NAME, links, only, row_name
 
@@ -298,12 +298,13 @@ def _linked(pairs: DataFrame, marked: DataFrame, firsts: DataFrame) -> DataFrame
 
 def components(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     """(doc_id, ``ROW_NAME``, component) of every row; null and empty texts are one component."""
-    marked = cut_table(_marked(docs, _common(docs, docs.count())))
-    firsts = cut(marked.groupBy("node").agg(F.min(F.struct(*ROW_NAME)).alias("m"), F.min("n").alias("n"), F.min("fp").alias("fp")).select("node", *[f"m.{n}" for n in ROW_NAME], "n", "fp"))
+    size = docs.count()
+    marked = cut_table(_marked(docs, _common(docs, size)))
+    firsts = cut(few(marked.groupBy("node").agg(F.min(F.struct(*ROW_NAME)).alias("m"), F.min("n").alias("n"), F.min("fp").alias("fp")).select("node", *[f"m.{n}" for n in ROW_NAME], "n", "fp"), size))
     bits = marked.groupBy("node").agg(F.min("n").alias("n"), F.min("bits").alias("bits"))
     sweep(docs.sparkSession)
     # candidates of the SimHash index, over one node of each fingerprint
-    heads = cut(firsts.groupBy("fp").agg(F.min("node").alias("head")))
+    heads = cut(few(firsts.groupBy("fp").agg(F.min("node").alias("head")), size))
     ends = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"h_{side}"))
     close = links(heads.select("fp")).join(ends("src"), "src").join(ends("dst"), "dst").select(F.col("h_src").alias("a"), F.col("h_dst").alias("b"))
     alike = firsts.join(heads, "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
@@ -327,7 +328,7 @@ def components(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
         more = cut(more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         if not more.isEmpty():
             linked = connected_components(found.unionByName(_linked(more, marked, names)), "a", "b")
-    out = cut(marked.select("doc_id", *ROW_NAME, "node").join(linked, "node", "left").select("doc_id", *ROW_NAME, F.coalesce("component", "node").alias("component")))
+    out = cut(few(marked.select("doc_id", *ROW_NAME, "node").join(linked, "node", "left").select("doc_id", *ROW_NAME, F.coalesce("component", "node").alias("component")), size))
     drop_table(marked)
     return out
 
@@ -338,5 +339,6 @@ def one_of_each(docs: DataFrame, file_rows: int = FILE_ROWS) -> DataFrame:
     Null and empty texts are one component; of repeated rows one stays; an empty
     table stays empty; extra columns stay as they are.
     """
-    first = components(docs, file_rows).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW_NAME)).alias("m"))
-    return only(docs, first.select(*[f"m.{n}" for n in ROW_NAME]))
+    named = components(docs, file_rows)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", *ROW_NAME)).alias("m"))
+    return only(docs, first.select(*[f"m.{n}" for n in ROW_NAME]), named.count())

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from folia.llm.common import cut, sieve
+from folia.llm.common import cut, few, sieve
 from folia.llm.components import connected_components
 
 WORDS, DISTANCE, SEED = 3, 2, 42
@@ -175,10 +175,10 @@ def _unsigned_rank(fp: str):
     return x.bitwiseXOR(F.lit(-(1 << 63)).cast("long"))
 
 
-def _ranged(distinct: DataFrame, ranges: int) -> DataFrame:
-    """(part, fp), written, so that a lost task finds the same ranges again."""
+def _ranged(distinct: DataFrame, ranges: int, rows: int) -> DataFrame:
+    """(part, fp) of ``rows`` rows, written, so that a lost task finds the same ranges again; a file takes several ranges."""
     dealt = distinct.select("fp").where("fp is not null").withColumn("_rank", _unsigned_rank("fp")).repartitionByRange(ranges, "_rank")
-    return cut(dealt.select(F.spark_partition_id().alias("part"), "fp"))
+    return cut(few(dealt.select(F.spark_partition_id().alias("part"), "fp"), rows))
 
 
 def _searched(dealt: DataFrame, distance: int) -> DataFrame:
@@ -215,7 +215,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, range_rows: int = RANGE
     spark = distinct.sparkSession
     n = distinct.count()
     spread = min(RANGES, math.ceil(n / least_rows))
-    filed = _ranged(distinct, max(1, math.ceil(n / range_rows), spread))
+    filed = _ranged(distinct, max(1, math.ceil(n / range_rows), spread), n)
     # three numbers for each range, of which there are n / range_rows or a partition's number
     tops = sorted((r.part, r.a, r.o, r.n) for r in filed.groupBy("part").agg(F.bit_and("fp").alias("a"), F.bit_or("fp").alias("o"), F.count(F.lit(1)).alias("n")).collect())
     names = np.array([t[0] for t in tops], dtype=np.int64)
@@ -304,14 +304,15 @@ def one_of_each(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return only(docs, first.select(*[f"m.{n}" for n in ROW_NAME]))
 
 
-def only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``row_name`` is in ``keep``, each name once.
+def only(docs: DataFrame, keep: DataFrame, rows: int | None = None) -> DataFrame:
+    """The rows of ``docs`` whose ``row_name`` is in ``keep``, each name once; ``rows``: how many rows of ``docs`` there are, if known.
 
     Rows that surely are and have no equals stay where they are; only the others are moved.
     """
-    named, keep = row_name(docs), cut(keep)
+    small = (lambda df: df) if rows is None else (lambda df: few(df, rows))
+    named, keep = row_name(docs), cut(small(keep))
     counts = named.groupBy(*ROW_NAME).agg(F.count(F.lit(1)).alias("_n"))
-    loose = cut(counts.join(keep.withColumn("_kept", F.lit(True)), list(ROW_NAME), "left").where("_kept is null or _n > 1").select(*ROW_NAME))
+    loose = cut(small(counts.join(keep.withColumn("_kept", F.lit(True)), list(ROW_NAME), "left").where("_kept is null or _n > 1").select(*ROW_NAME)))
     moved = sieve(named, loose, list(ROW_NAME)).dropDuplicates(list(ROW_NAME)).join(keep, list(ROW_NAME), "left_semi")
     stay = sieve(named, loose, list(ROW_NAME), inside=False)
     return stay.unionByName(moved).select(*[f"`{c}`" for c in docs.columns])

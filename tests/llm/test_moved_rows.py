@@ -53,3 +53,41 @@ def test_estimated_sizes_stay_small_in_components(spark, monkeypatch):
         edges = edges.join(edges.select("src").withColumnRenamed("src", "s"), F.col("src") == F.col("s")).select("src", "dst")
     assert {r.component for r in components.connected_components(edges).collect()} == {0}
     assert len(digits) > 8 and max(digits) < 40
+
+
+def test_small_tables_are_written_as_few_files(spark, monkeypatch):
+    """Each file starts processes that count for a moment with all memory of the executor."""
+    from folia.llm import components, near_copies
+
+    files = []
+
+    def counted(write):
+        def cut(df):
+            out = write(df)
+            files.append(out._jdf.queryExecution().toRdd().getNumPartitions() if write is common.cut else len(out.inputFiles()))
+            return out
+
+        return cut
+
+    for module in (components, simhash_gray):
+        for name in {"cut", "cut_table"} & set(vars(module)):
+            monkeypatch.setattr(module, name, counted(getattr(common, name)))
+    cores = spark.sparkContext.defaultParallelism
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        ranged = simhash_gray._ranged(spark.range(5000).select((F.col("id") * 7919).alias("fp")), 64, 5000).collect()
+        assert len({r.part for r in ranged}) > 60 and sorted(r.fp for r in ranged) == [7919 * i for i in range(5000)]
+        edges = spark.range(0, 600).where("id % 100 <> 99").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+        got = components.connected_components(edges).collect()
+        assert {(r.node, r.component) for r in got} == {(i, i - i % 100) for i in range(600)}
+        assert len(files) > 8 and sorted(files)[-2] <= cores  # the edges' first table alone is of unknown size
+        del files[:]
+        docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)], "doc_id long, text string")
+        assert sorted(r.doc_id for r in near_copies.one_of_each(docs).collect()) == list(range(90))
+        assert len(files) > 2 and max(files) <= cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
