@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folia.operators.rows import binarize
+from folia.operators.rows import binarize, variation
 from folia.sources.settings import Segment
 
 DEFAULT = Segment()
@@ -104,8 +104,7 @@ def assess(boxes: DataFrame, ink: DataFrame, s: Segment = DEFAULT) -> tuple[Data
     placed = placed.withColumns({"pitch": F.col("_c") - F.lag("_c").over(w), "_from": F.floor(F.lag("_end").over(w)), "_to": F.floor("y")})
     row_ink = inside(boxes, ink, "row").groupBy("page", "row").agg(area().alias("ink"))
     placed = placed.join(row_ink, ["page", "row"], "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
-    cv = F.coalesce(F.try_divide(F.stddev_pop("pitch"), F.avg("pitch")), F.lit(0.0))
-    page = placed.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.median("h").alias("median_h"), F.coalesce(F.median("pitch"), F.lit(0.0)).alias("median_pitch"), cv.alias("pitch_cv"), F.median("ink").alias("_typical")).where(F.col("rows") >= s.min_rows_for_assessment)
+    page = placed.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.median("h").alias("median_h"), F.coalesce(F.median("pitch"), F.lit(0.0)).alias("median_pitch"), variation("pitch").alias("pitch_cv"), F.median("ink").alias("_typical")).where(F.col("rows") >= s.min_rows_for_assessment)
     both = placed.join(page, "page")
     more = F.bround((F.col("h") - F.col("median_h")) / F.col("median_pitch")).cast("long")
     tall = both.where(F.col("h") > s.tall_factor * F.col("median_h")).withColumn("_more", F.when(F.col("median_pitch") > 0, F.greatest(F.lit(0), more)).otherwise(0))
