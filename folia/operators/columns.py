@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folia.operators.rows import binarize, variation
@@ -46,29 +46,65 @@ def tighten(boxes: DataFrame, ink: DataFrame, *keys: str) -> DataFrame:
     return hull.select("page", *keys, "x", "y", (F.col("x1") - F.col("x")).alias("w"), (F.col("y1") - F.col("y")).alias("h"))
 
 
-def gutters(boxes: DataFrame, ink: DataFrame, margin: int = 5) -> DataFrame:
+def measured(boxes: DataFrame, ink: DataFrame, margin: int = DEFAULT.edge_margin_px) -> DataFrame:
+    """The boxes with ``pitch``, the gap above (_from, _to), their ink, the gap's ink and its hull, and their gutter (lo, hi).
+
+    Ink meets a page's boxes once; where boxes and ink are dealt by page, nothing
+    is shuffled here nor by windows over a page that follow.
+    """
+    w = Window.partitionBy("page").orderBy("y", "row")
+    centre, end = F.col("y") + F.col("h") / 2, F.col("y") + F.col("h")
+    box = boxes.select("page", "row", "x", "y", "w", "h", (centre - F.lag(centre).over(w)).alias("pitch"), F.floor(F.lag(end).over(w)).alias("_from"), F.floor("y").alias("_to"))
+    box = box.withColumns({"_x0": F.floor("x"), "_y0": F.floor("y"), "_x1": F.ceil(F.col("x") + F.col("w")), "_y1": F.ceil(end)})
+    spot = ink.select(F.col("page").alias("_page"), F.col("x").alias("_a"), F.col("y").alias("_b"), (F.col("x") + F.col("w")).alias("_c"), (F.col("y") + F.col("h")).alias("_d"))
+    held, between = F.expr("_a < _x1 AND _x0 < _c AND _b < _y1 AND _y0 < _d"), F.expr("_from < _to AND _b < _to AND _from < _d")
+    met = box.join(spot, (F.col("page") == F.col("_page")) & (held | between), "left")
+    met = met.withColumns({"_in": F.coalesce(held, F.lit(False)), "_gap": F.coalesce(between, F.lit(False))})
+    met = met.withColumns({"x0": F.when(F.col("_in"), F.greatest("_a", "_x0")), "x1": F.when(F.col("_in"), F.least("_c", "_x1"))})
+    walk = Window.partitionBy("page", "row").orderBy(F.asc_nulls_last("x0"), "x1")
+    reach = met.withColumns({"_upto": F.max("x1").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("x0").over(walk)})
+    free = (F.col("_next") > F.col("_upto")) & (F.col("_upto") - F.col("_x0") > margin) & (F.col("_next") < F.col("_x1") - margin)
+    best = F.max_by(F.struct("_upto", "_next"), F.when(free, F.struct(F.col("_next") - F.col("_upto"), -F.col("_upto"))))
+    high = lambda top, bottom: F.least("_d", bottom) - F.greatest("_b", top)
+    own = [F.first(c).alias(c) for c in ("x", "y", "w", "h", "pitch", "_from", "_to")]
+    got = reach.groupBy("page", "row").agg(
+        *own, F.coalesce(F.sum(F.when(F.col("_in"), (F.col("x1") - F.col("x0")) * high("_y0", "_y1"))), F.lit(0)).alias("ink"), best.alias("_g"),
+        F.sum(F.when(F.col("_gap"), (F.col("_c") - F.col("_a")) * high("_from", "_to"))).alias("_left"), F.min(F.when(F.col("_gap"), F.col("_a"))).alias("_x0"), F.max(F.when(F.col("_gap"), F.col("_c"))).alias("_x1"),
+    )
+    return got.withColumns({"lo": F.col("_g._upto"), "hi": F.col("_g._next")}).drop("_g")
+
+
+def gutters(boxes: DataFrame, ink: DataFrame, margin: int = DEFAULT.edge_margin_px) -> DataFrame:
     """(page, row, lo, hi): the widest stretch of each row without ink, away from both ends; equals go to the first."""
-    part = inside(boxes, ink, "row")
-    w = Window.partitionBy("page", "row").orderBy("x0", "x1")
-    reach = part.withColumns({"_to": F.max("x1").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_next": F.lead("x0").over(w)})
-    ends = boxes.select("page", "row", F.floor("x").alias("_x0"), F.ceil(F.col("x") + F.col("w")).alias("_x1"))
-    gaps = reach.where("_next > _to").join(ends, ["page", "row"]).where((F.col("_to") - F.col("_x0") > margin) & (F.col("_next") < F.col("_x1") - margin))
-    best = F.max_by(F.struct("_to", "_next"), F.struct(F.col("_next") - F.col("_to"), -F.col("_to")))
-    return gaps.groupBy("page", "row").agg(best.alias("g")).select("page", "row", F.col("g._to").alias("lo"), F.col("g._next").alias("hi"))
+    return measured(boxes, ink, margin).where("lo IS NOT NULL").select("page", "row", "lo", "hi")
 
 
-def column_rows(boxes: DataFrame, found: DataFrame, s: Segment = DEFAULT) -> DataFrame:
-    """(page, row, y, h, lo, hi, block): rows of runs that share a gutter, wide for the page and for its rows."""
-    every = boxes.select("page", "row", "y", "h").join(found, ["page", "row"], "left").withColumn("width", F.coalesce(F.col("hi") - F.col("lo"), F.lit(0)))
-    page = every.groupBy("page").agg(F.count(F.lit(1)).alias("n"), F.greatest(s.min_gutter_ratio * F.greatest(F.median("width"), F.lit(1.0)), s.min_gutter_frac_of_height * F.median("h")).alias("least")).where(F.col("n") >= s.min_rows)
-    w = Window.partitionBy("page").orderBy("y", "row")
-    marked = every.join(page, "page").withColumn("_ok", F.col("lo").isNotNull() & (F.col("width") >= F.col("least")))
+def _whole() -> Window:
+    """All of a page, in the order of its rows: one sort serves this and what goes on row by row."""
+    return Window.partitionBy("page").orderBy("y", "row").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def in_blocks(rows: DataFrame, s: Segment = DEFAULT) -> DataFrame:
+    """Adds ``_kept`` to ``measured`` rows: whether a row is of a run that shares a gutter, wide for the page and for its rows; ``_run`` tells the runs apart."""
+    w, whole, width = Window.partitionBy("page").orderBy("y", "row"), _whole(), F.coalesce(F.col("hi") - F.col("lo"), F.lit(0))
+    least = F.greatest(s.min_gutter_ratio * F.greatest(F.percentile(width, 0.5).over(whole), F.lit(1.0)), s.min_gutter_frac_of_height * F.percentile("h", 0.5).over(whole))
+    enough = F.count(F.lit(1)).over(whole) >= s.min_rows
+    marked = rows.withColumn("_ok", enough & F.col("lo").isNotNull() & F.coalesce(width >= least, F.lit(False)))
     shared = F.least(F.col("hi"), F.lag("hi").over(w)) - F.greatest(F.col("lo"), F.lag("lo").over(w))
     goes_on = F.coalesce(F.lag("_ok").over(w), F.lit(False)) & F.coalesce(shared >= s.align_overlap_px, F.lit(False))
-    runs = marked.withColumn("_new", F.when(F.col("_ok") & goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w)).where("_ok")
-    size = F.count(F.lit(1)).over(Window.partitionBy("page", "_run"))
-    kept = runs.withColumn("_n", size).where(F.col("_n") >= s.min_rows)
-    return kept.select("page", "row", "y", "h", "lo", "hi", (F.dense_rank().over(Window.partitionBy("page").orderBy("_run")) - 1).alias("block"))
+    runs = marked.withColumn("_new", F.when(F.col("_ok") & goes_on, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(w))
+    return runs.withColumn("_kept", F.col("_ok") & (F.count(F.lit(1)).over(Window.partitionBy("page", "_run")) >= s.min_rows)).drop("_ok", "_new")
+
+
+def block_rows(rows: DataFrame) -> DataFrame:
+    """(page, row, y, h, lo, hi, block) of the rows ``in_blocks`` that are kept."""
+    block = F.dense_rank().over(Window.partitionBy("page").orderBy("_run")) - 1
+    return rows.where("_kept").select("page", "row", "y", "h", "lo", "hi", block.alias("block"))
+
+
+def column_rows(boxes: DataFrame, found: DataFrame, s: Segment = DEFAULT) -> DataFrame:
+    """``block_rows`` of boxes and the gutters found in them."""
+    return block_rows(in_blocks(boxes.select("page", "row", "y", "h").join(found, ["page", "row"], "left"), s))
 
 
 def column_blocks(rows: DataFrame) -> DataFrame:
@@ -78,9 +114,19 @@ def column_blocks(rows: DataFrame) -> DataFrame:
 
 
 def split_rows(boxes: DataFrame, rows: DataFrame, blocks: DataFrame, ink: DataFrame) -> DataFrame:
-    """(page, row, cell, x, y, w, h): rows of a block become two cells, the right one first, each shrunk to its ink; the others stay."""
+    """``split_cells`` of boxes, their ``column_rows`` and blocks."""
     at = rows.select("page", "row", "block").join(blocks.select("page", "block", "gutter_x"), ["page", "block"]).select("page", "row", "gutter_x")
-    both = boxes.select("page", "row", "x", "y", "w", "h").join(at, ["page", "row"], "left")
+    return split_cells(boxes.select("page", "row", "x", "y", "w", "h").join(at, ["page", "row"], "left"), ink)
+
+
+def with_gutter(rows: DataFrame) -> DataFrame:
+    """Adds ``gutter_x``, the middle of what all gutters of a block share, to rows ``in_blocks``."""
+    run = Window.partitionBy("page", "_run")
+    return rows.withColumn("gutter_x", F.when(F.col("_kept"), (F.max("lo").over(run) + F.min("hi").over(run)) / 2))
+
+
+def split_cells(both: DataFrame, ink: DataFrame) -> DataFrame:
+    """(page, row, cell, x, y, w, h): boxes with a ``gutter_x`` become two cells, the right one first, each shrunk to its ink; the others stay."""
     g, end = F.col("gutter_x"), F.col("x") + F.col("w")
     cut = F.coalesce((F.col("x") < g) & (g < end), F.lit(False))
     whole = both.where(~cut).select("page", "row", F.lit(0).alias("cell"), *[F.col(c).cast("double").alias(c) for c in "xywh"])
@@ -89,8 +135,18 @@ def split_rows(boxes: DataFrame, rows: DataFrame, blocks: DataFrame, ink: DataFr
     return whole.unionByName(tighten(cells, ink, "row", "cell").select("page", "row", "cell", *[F.col(c).cast("double").alias(c) for c in "xywh"]))
 
 
-def area() -> Column:
-    return F.sum((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))
+def _judged(boxes: DataFrame, ink: DataFrame, s: Segment) -> DataFrame:
+    """Rows ``in_blocks`` with the measures of their page, their estimates of merged (``_merged``) and missed lines (``_missed``); null where there is no suspicion."""
+    whole, p = _whole(), F.percentile
+    rows = in_blocks(measured(boxes, ink, s.edge_margin_px), s)
+    rows = rows.withColumns({"rows": F.count(F.lit(1)).over(whole), "median_h": p("h", 0.5).over(whole), "median_pitch": F.coalesce(p("pitch", 0.5).over(whole), F.lit(0.0)), "_typical": p("ink", 0.5).over(whole)})
+    known, steady = F.col("page").isNotNull(), F.col("median_pitch") > 0
+    more = F.bround((F.col("h") - F.col("median_h")) / F.when(steady, F.col("median_pitch"))).cast("long")
+    wide = known & steady & (F.col("pitch") > s.gap_factor * F.col("median_pitch")) & (F.col("_to") > F.col("_from"))
+    stranded = wide & (F.col("_typical") > 0) & (F.col("_left") > s.stranded_ink_frac * F.col("_typical"))
+    steps = F.bround(F.col("pitch") / F.when(steady, F.col("median_pitch"))).cast("long") - 1
+    rows = rows.where(F.col("rows") >= s.min_rows_for_assessment)
+    return rows.withColumns({"_merged": F.when(known & (F.col("h") > s.tall_factor * F.col("median_h")), F.coalesce(F.greatest(F.lit(0), more), F.lit(0))), "_missed": F.when(stranded, F.greatest(F.lit(1), steps))})
 
 
 def assess(boxes: DataFrame, ink: DataFrame, s: Segment = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -99,37 +155,22 @@ def assess(boxes: DataFrame, ink: DataFrame, s: Segment = DEFAULT) -> tuple[Data
     A merged pair leaves a tall box; a missed line leaves a wide gap that holds
     ink.  Estimates round half to even.
     """
-    w = Window.partitionBy("page").orderBy("y", "row")
-    placed = boxes.withColumns({"_c": F.col("y") + F.col("h") / 2, "_end": F.col("y") + F.col("h")})
-    placed = placed.withColumns({"pitch": F.col("_c") - F.lag("_c").over(w), "_from": F.floor(F.lag("_end").over(w)), "_to": F.floor("y")})
-    row_ink = inside(boxes, ink, "row").groupBy("page", "row").agg(area().alias("ink"))
-    placed = placed.join(row_ink, ["page", "row"], "left").withColumn("ink", F.coalesce("ink", F.lit(0)))
-    page = placed.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.median("h").alias("median_h"), F.coalesce(F.median("pitch"), F.lit(0.0)).alias("median_pitch"), variation("pitch").alias("pitch_cv"), F.median("ink").alias("_typical")).where(F.col("rows") >= s.min_rows_for_assessment)
-    both = placed.join(page, "page")
-    more = F.bround((F.col("h") - F.col("median_h")) / F.col("median_pitch")).cast("long")
-    tall = both.where(F.col("h") > s.tall_factor * F.col("median_h")).withColumn("_more", F.when(F.col("median_pitch") > 0, F.greatest(F.lit(0), more)).otherwise(0))
-    wide = both.where((F.col("median_pitch") > 0) & (F.col("pitch") > s.gap_factor * F.col("median_pitch")) & (F.col("_to") > F.col("_from")))
-    far = 1 << 40  # a gap reaches over the whole width
-    bands = wide.select("page", "row", F.lit(-far).alias("x"), F.col("_from").alias("y"), F.lit(2 * far).alias("w"), (F.col("_to") - F.col("_from")).alias("h"))
-    left = inside(bands, ink, "row").groupBy("page", "row").agg(area().alias("_left"), F.min("x0").alias("_x0"), F.max("x1").alias("_x1"))
-    missed = wide.join(left, ["page", "row"]).where((F.col("_typical") > 0) & (F.col("_left") > s.stranded_ink_frac * F.col("_typical")))
-    missed = missed.withColumn("_more", F.greatest(F.lit(1), F.bround(F.col("pitch") / F.col("median_pitch")).cast("long") - 1))
-    rows = column_rows(boxes, gutters(boxes, ink, s.edge_margin_px), s)
-    blocks = column_blocks(rows)
-    t = tall.groupBy("page").agg(F.count(F.lit(1)).alias("tall_boxes"), F.sum("_more").alias("merged_lines"))
-    m = missed.groupBy("page").agg(F.count(F.lit(1)).alias("stranded_gaps"), F.sum("_more").alias("missed_lines"))
-    b = blocks.groupBy("page").agg(F.count(F.lit(1)).alias("column_blocks"), F.sum("rows").alias("multi_column_rows"))
-    counts = ["tall_boxes", "merged_lines", "stranded_gaps", "missed_lines", "column_blocks", "multi_column_rows"]
-    out = page.drop("_typical").join(t, "page", "left").join(m, "page", "left").join(b, "page", "left").fillna(0, counts)
+    rows = _judged(boxes, ink, s)
+    total = lambda n: F.coalesce(F.sum(n), F.lit(0))
+    first = F.coalesce(F.lag("_run").over(Window.partitionBy("page").orderBy("y", "row")) != F.col("_run"), F.lit(True))
+    out = rows.withColumn("_first", F.col("_kept") & first).groupBy("page").agg(
+        *[F.first(n).alias(n) for n in ("rows", "median_h", "median_pitch")], variation("pitch").alias("pitch_cv"), F.count("_merged").alias("tall_boxes"), total("_merged").alias("merged_lines"),
+        F.count("_missed").alias("stranded_gaps"), total("_missed").alias("missed_lines"), F.count_if("_first").alias("column_blocks"), F.count_if("_kept").alias("multi_column_rows"),
+    )
     out = out.withColumn("suspect_lines", F.col("merged_lines") + F.col("missed_lines") + F.col("multi_column_rows"))
-    kind = lambda df, name, x, y, w, h: df.select("page", F.lit(name).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
+    spot = lambda name, x, y, w, h: F.struct(F.lit(name).alias("kind"), x.cast("double").alias("x"), y.cast("double").alias("y"), w.cast("double").alias("w"), h.cast("double").alias("h"))
     c = F.col
-    issues = (
-        kind(tall.where("_more > 0"), "merged_lines", c("x"), c("y"), c("w"), c("h"))
-        .unionByName(kind(missed, "missed_line", c("_x0"), c("_from"), c("_x1") - c("_x0"), c("_to") - c("_from")))
-        .unionByName(kind(blocks.join(page.select("page"), "page", "left_semi"), "column_gutter", c("gutter_x") - 1, c("y0"), F.lit(2.0), c("y1") - c("y0")))
-    )
-    return out, issues
+    run = Window.partitionBy("page", "_run").orderBy("y", "row")
+    every = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    block = spot("column_gutter", (F.max("lo").over(every) + F.min("hi").over(every)) / 2 - 1, F.min("y").over(every), F.lit(2.0), F.max(c("y") + c("h")).over(every) - F.min("y").over(every))
+    found = rows.withColumn("_block", F.when(c("_kept") & c("page").isNotNull() & (F.row_number().over(run) == 1), block))
+    seen = F.array(F.when(c("_merged") > 0, spot("merged_lines", c("x"), c("y"), c("w"), c("h"))), F.when(c("_missed").isNotNull(), spot("missed_line", c("_x0"), c("_from"), c("_x1") - c("_x0"), c("_to") - c("_from"))), c("_block"))
+    return out, found.select("page", F.explode(F.array_compact(seen)).alias("i")).select("page", "i.*")
 
 
 def findings(assessed: DataFrame, s: Segment = DEFAULT) -> DataFrame:

@@ -10,7 +10,7 @@ from folia.operators import rows as R
 
 def exchanges(df) -> list[str]:
     plan = df._jdf.queryExecution().executedPlan().toString()
-    return re.findall(r"Exchange (\w+\([^)]*\)?)", plan)
+    return re.findall(r"Exchange (\w+partitioning\([^)]*\)|SinglePartition)", plan)
 
 
 @pytest.mark.parametrize("name", ["row_profile", "smoothed_profile", "text_rows", "text_rows_of_profile"])
@@ -19,6 +19,12 @@ def test_profiles_shuffle_order_lines_only(spark, data, name):
     assert len(found) == 1 and "l_orderkey" in found[0]
 
 
+@pytest.mark.parametrize("name", ["column_blocks", "split_rows", "page_judgement", "page_issues", "page_findings", "row_gutters"])
+def test_rows_and_ink_meet_where_they_were_dealt(spark, data, name):
+    found = exchanges(catalog.queries()[name](spark, data))
+    assert found and all("l_orderkey" in e for e in found)
+
+
 def test_rectangles_without_height_have_no_ink(spark):
     rects = spark.createDataFrame([(1, 10, 5, 2), (1, 11, 7, 1), (1, 40, 9, 0), (1, 60, 3, 1), (1, 62, 4, 1)], "page long, y long, w long, h long")
     profile = R.rectangle_profile(rects)
