@@ -25,6 +25,12 @@ def test_rows_and_ink_meet_where_they_were_dealt(spark, data, name):
     assert found and all("l_orderkey" in e for e in found)
 
 
+@pytest.mark.parametrize("name", ["candidate_votes", "unigram_fallback", "candidate_topk_nms"])
+def test_votes_stay_where_their_line_is(spark, data, name):
+    found = exchanges(catalog.queries()[name](spark, data))
+    assert found and not any("diagonal" in e for e in found)
+
+
 def test_rectangles_without_height_have_no_ink(spark):
     rects = spark.createDataFrame([(1, 10, 5, 2), (1, 11, 7, 1), (1, 40, 9, 0), (1, 60, 3, 1), (1, 62, 4, 1)], "page long, y long, w long, h long")
     profile = R.rectangle_profile(rects)
