@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folia.functions import fixed as X
-from folia.functions.unicode import nfc
+from folia.functions.unicode import composed
 
 
 def fold_letters(c: Column) -> Column:
@@ -33,16 +33,16 @@ def canonical(c: Column, mode: str = "loose", keep_newlines: bool = True, compos
     """One form for texts that differ only in encoding; ``loose`` also drops vocalisation.
 
     Every character step is one ``translate``.  ``compose=False`` leaves out
-    normalisation for text known to be composed, and stays in the JVM.
+    normalisation for text known to be composed.
     """
     if mode not in ("strict", "loose"):
         raise ValueError(f"unknown mode {mode!r}")
     drop = X.TATWEEL + X.QURANIC_MARKS + (X.TASHKEEL if mode == "loose" else "") + X.ZWJ
     swap_from = X.FOLD_FROM + X.ARABIC_INDIC_DIGITS + X.PERSIAN_DIGITS
-    out = F.translate(nfc(c) if compose else c, swap_from + drop, X.FOLD_TO + X.ASCII_DIGITS * 2)
+    out = F.translate(composed(c) if compose else c, swap_from + drop, X.FOLD_TO + X.ASCII_DIGITS * 2)
     out = F.regexp_replace(out, f"{X.SPACE_CLASS}+", " ")
     out = F.regexp_replace(out, r"(?U)\s*\n\s*", "\n") if keep_newlines else F.regexp_replace(out, r"(?U)\s+", " ")
-    return trimmed(nfc(out) if compose else out)
+    return F.when(c.isNotNull(), trimmed(composed(out))) if compose else trimmed(out)
 
 
 def _bare_length(c: Column) -> Column:
