@@ -35,22 +35,29 @@ def bands(cells: DataFrame, overlap: float = 0.5) -> DataFrame:
     return each.select("page", (-F.col("z.b.nx")).alias("x"), F.col("z.b.y").alias("y"), *[F.col(f"z.b.{c}").alias(c) for c in others], F.col("z.n").alias("band"))
 
 
-def gutters(banded: DataFrame) -> DataFrame:
-    """(page, band, n, gutters): the gaps between a band's cells from left to right; null if cells overlap or there is one."""
-    each = banded.groupBy("page", "band").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("c"))
+def with_gutters(held: DataFrame) -> DataFrame:
+    """Adds the number of cells and the gaps between them to bands with their cells ``c`` from left to right."""
     n = F.size("c")
     gaps = F.when(n > 1, F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.struct((F.element_at("c", i)["x"] + F.element_at("c", i)["w"]).alias("lo"), F.get("c", i)["x"].alias("hi"))))
     clean = ~F.exists(gaps, lambda g: g["hi"] <= g["lo"])
-    return each.select("page", "band", n.alias("n"), F.when(clean, gaps).alias("gutters"))
+    return held.withColumn("n", n).withColumn("gutters", F.when(clean, gaps)).drop("c")
+
+
+def gutters(banded: DataFrame) -> DataFrame:
+    """(page, band, n, gutters): the gaps between a band's cells from left to right; null if cells overlap or there is one."""
+    return with_gutters(banded.groupBy("page", "band").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("c")))
+
+
+def _fits(align: float) -> Column:
+    """Whether a band's gutters line up with those of the band before (``_last``)."""
+    pairs = F.zip_with("gutters", "_last", lambda a, b: F.coalesce(F.least(a["hi"], b["hi"]) - F.greatest(a["lo"], b["lo"]) >= align, F.lit(False)))
+    return F.coalesce((F.size("gutters") == F.size("_last")) & F.forall(pairs, lambda ok: ok), F.lit(False))
 
 
 def column_runs(guttered: DataFrame, align: float = 4, min_rows: int = 2) -> DataFrame:
     """(page, band, run, columns) of bands in a column block: neighbours of equal cell count whose gutters line up."""
     w = Window.partitionBy("page").orderBy("band")
-    last = F.lag("gutters").over(w)
-    pairs = F.zip_with("gutters", "_last", lambda a, b: F.coalesce(F.least(a["hi"], b["hi"]) - F.greatest(a["lo"], b["lo"]) >= align, F.lit(False)))
-    fits = F.coalesce((F.size("gutters") == F.size("_last")) & F.forall(pairs, lambda ok: ok), F.lit(False))
-    marked = guttered.withColumn("_last", last).withColumn("_new", F.when(F.col("gutters").isNull() | ~fits, 1).otherwise(0))
+    marked = guttered.withColumn("_last", F.lag("gutters").over(w)).withColumn("_new", F.when(F.col("gutters").isNull() | ~_fits(align), 1).otherwise(0))
     islands = marked.withColumn("_island", F.sum("_new").over(w)).where("gutters is not null")
     long = islands.withColumn("_k", F.count(F.lit(1)).over(Window.partitionBy("page", "_island"))).where(F.col("_k") >= min_rows)
     return long.select("page", "band", (F.dense_rank().over(Window.partitionBy("page").orderBy("_island")) - 1).alias("run"), F.col("n").alias("columns"))
@@ -62,14 +69,35 @@ def upper_median(values: Column) -> Column:
     return F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)
 
 
+def in_runs(banded: DataFrame, align: float = 4, min_rows: int = 2) -> DataFrame:
+    """The cells with run and columns of their band, null outside of column blocks; bands keep their cells, so nothing is joined."""
+    others = [c for c in banded.columns if c not in ("page", "band", "x", "w")]
+    held = banded.groupBy("page", "band").agg(F.sort_array(F.collect_list(F.struct("x", "w"))).alias("c"), F.collect_list(F.struct("x", "w", *others)).alias("_cells"))
+    w = Window.partitionBy("page").orderBy("band")
+    guttered = with_gutters(held)
+    marked = guttered.withColumn("_last", F.lag("gutters").over(w)).withColumn("_new", F.when(F.col("gutters").isNull() | ~_fits(align), 1).otherwise(0))
+    islands = marked.withColumn("_island", F.sum("_new").over(w))
+    size = F.count_if(F.col("gutters").isNotNull()).over(Window.partitionBy("page", "_island"))
+    long = islands.withColumn("_long", F.col("gutters").isNotNull() & (size >= min_rows))
+    # the islands that are long enough, numbered from 0: one more where a long band's island is not that of the long band before
+    before = F.last(F.when(F.col("_long"), F.col("_island")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    long = long.withColumn("_first", F.when(F.col("_long") & ~F.coalesce(before == F.col("_island"), F.lit(False)), 1).otherwise(0))
+    ran = long.withColumn("run", F.when(F.col("_long"), F.sum("_first").over(w) - 1).cast("int"))
+    return ran.select("page", "band", "run", F.when(F.col("_long"), F.col("n")).alias("columns"), F.explode("_cells").alias("z")).select("page", "band", "run", "columns", "z.*")
+
+
 def reading_order(banded: DataFrame, runs: DataFrame, order: str = "column_major", note_ratio: float = 0.35) -> DataFrame:
-    """Each cell with its region and place: page, region, seq, block, columns, column_index, marginalia.
+    """``ordered`` of cells and the runs found in them."""
+    return ordered(banded.join(runs, ["page", "band"], "left"), order, note_ratio)
+
+
+def ordered(cells: DataFrame, order: str = "column_major", note_ratio: float = 0.35) -> DataFrame:
+    """Each cell, with run and columns, with its region and place: page, region, seq, block, columns, column_index, marginalia.
 
     Stretches of plain bands are prose regions.  A column block is one region for
     each column from the right (``column_major``), narrow ones last as marginalia,
     or one region as a whole (``row_major``).
     """
-    cells = banded.join(runs, ["page", "band"], "left")
     right = Window.partitionBy("page", "band").orderBy(F.desc("x"), "cell")
     cells = cells.withColumn("_c", F.row_number().over(right) - 1)
     # a stretch of plain bands starts where the block of the cell before differs
@@ -80,11 +108,13 @@ def reading_order(banded: DataFrame, runs: DataFrame, order: str = "column_major
         cells = cells.withColumns({"column_index": F.lit(-1), "marginalia": F.lit(False)})
     else:
         cells = cells.withColumn("column_index", F.when(F.col("run").isNotNull(), F.col("_c")).otherwise(-1))
-        width = cells.groupBy("page", "_part", "column_index").agg(upper_median(F.collect_list("w")).alias("_mw"))
-        widest = Window.partitionBy("page", "_part")
-        top = F.max("_mw").over(widest)
-        narrow = width.select("page", "_part", "column_index", ((F.col("column_index") >= 0) & (F.col("_mw") / F.when(top == 0, 1).otherwise(top) < note_ratio)).alias("marginalia"))
-        cells = cells.join(narrow, ["page", "_part", "column_index"])
+        column, part = Window.partitionBy("page", "_part", "column_index"), Window.partitionBy("page", "_part")
+        by_width = column.orderBy("w")
+        whole = by_width.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        middle = F.row_number().over(by_width) == F.floor(F.count(F.lit(1)).over(whole) / 2) + 1  # the upper one of two
+        cells = cells.withColumn("_mid", F.when(middle, F.col("w"))).withColumn("_mw", F.max("_mid").over(whole)).withColumn("_top", F.max("_mw").over(part))
+        share = F.col("_mw") / F.when(F.col("_top") == 0, 1).otherwise(F.col("_top"))
+        cells = cells.withColumn("marginalia", (F.col("column_index") >= 0) & (share < note_ratio))
     region = Window.partitionBy("page").orderBy("_part", "marginalia", "column_index")
     place = Window.partitionBy("page", "_part", "column_index").orderBy("band", "_c")
     cells = cells.withColumns({"region": F.dense_rank().over(region) - 1, "seq": F.row_number().over(place) - 1})

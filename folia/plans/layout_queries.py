@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _cells(spark, d):
-    return I.cells(I.table(spark, d, "lineitem"))
+    return I.cells(I.dealt(I.table(spark, d, "lineitem"), "l_orderkey"))
 
 
 def _banded(spark, d):
@@ -29,8 +29,7 @@ def _banded(spark, d):
 
 
 def _ordered(spark, d, order="column_major"):
-    b = _banded(spark, d)
-    return L.reading_order(b, L.column_runs(L.gutters(b)), order)
+    return L.ordered(L.in_runs(_banded(spark, d)), order)
 
 
 BANDS_SQL = f"""

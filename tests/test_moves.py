@@ -25,6 +25,12 @@ def test_rows_and_ink_meet_where_they_were_dealt(spark, data, name):
     assert found and all("l_orderkey" in e for e in found)
 
 
+@pytest.mark.parametrize("name", ["reading_order", "row_major_order"])
+def test_cells_are_ordered_where_they_were_dealt(spark, data, name):
+    found = exchanges(catalog.queries()[name](spark, data))
+    assert len(found) == 1 and "l_orderkey" in found[0]
+
+
 @pytest.mark.parametrize("name", ["candidate_votes", "unigram_fallback", "candidate_topk_nms"])
 def test_votes_stay_where_their_line_is(spark, data, name):
     found = exchanges(catalog.queries()[name](spark, data))
